@@ -1,0 +1,35 @@
+"""Joining a fact table to one row per key when one key may hold much of the fact table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# At most 1 / HEAVY_SHARE keys can each hold more than HEAVY_SHARE of the rows,
+# which is what bounds the broadcast below, whatever the data.
+HEAVY_SHARE = 1 / 1024
+HEAVY_MIN_ROWS = 1_000_000
+
+
+def join_unique(
+    facts: DataFrame,
+    unique: DataFrame,
+    key: str,
+    share: float = HEAVY_SHARE,
+    min_rows: int = HEAVY_MIN_ROWS,
+) -> DataFrame:
+    """Inner join of ``facts`` to ``unique`` (one row per ``key``), exact under any skew.
+
+    Keys with more than ``share`` of the rows (and more than ``min_rows``) are joined
+    in place against a broadcast of fewer than 1/share rows; the others by shuffle.
+    When no key is heavy, adaptive execution finds the broadcast side empty and drops
+    that branch.
+    """
+    counted = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    total = facts.agg(F.count(F.lit(1)).alias("_rows")).scalar()
+    heavy = counted.filter(
+        (F.col("_rows") > min_rows) & (F.col("_rows") > total.cast("double") * share)
+    ).select(key)
+    heavy_rows = facts.join(F.broadcast(unique.join(F.broadcast(heavy), key, "left_semi")), key)
+    other_rows = facts.join(F.broadcast(heavy), key, "left_anti").join(unique, key)
+    return heavy_rows.unionByName(other_rows)
