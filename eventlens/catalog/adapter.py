@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.config import Config
@@ -57,121 +57,108 @@ PAGES = {
 WEAK_PAGE = f"{SITE}/Google+Redesign/Drinkware"
 
 
-def _pick(key: Column, table: dict) -> Column:
-    out = F.lit(None).cast("string")
-    for value, text in table.items():
-        out = F.when(key == value, text).otherwise(out)
-    return out
+def _pick(key: str, table: dict) -> str:
+    whens = " ".join(f"WHEN {value} THEN '{text}'" for value, text in table.items())
+    return f"CASE {key} {whens} END"
 
 
 def _rows(raw: DataFrame) -> DataFrame:
     """Source rows with day and ``k``, once per kind of hit they stand for."""
-    event, kind = F.col("event_id"), F.col("event_type")
-    plain = kind.isin("view", "error")
-    shift = F.col("user_id") % 21
-    dated = raw.select(
-        "event_id",
-        "user_id",
-        "event_type",
-        "value",
-        shift.alias("shift"),
-        (F.col("ts") + F.make_dt_interval(shift.cast("int"))).alias("at"),
-        F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"),
-    ).withColumn("d", F.datediff(F.to_date("at"), F.lit(date(2024, 1, 1))).cast("bigint"))
-    kinds = F.array_compact(
-        F.array(
-            F.lit("base"),
-            F.when((kind == "purchase") & (event % 41 == 0), F.lit("resend")),
-            F.when(plain & (event % 97 == 0), F.lit("copy")),
-            F.when((kind == "click") & (event % 3 == 0), F.lit("ship")),
-            F.when((kind == "click") & (event % 4 == 0) & (F.col("d") >= 14), F.lit("cart")),
+    return (
+        raw.selectExpr(
+            "event_id",
+            "user_id",
+            "event_type",
+            "value",
+            "user_id % 21 AS shift",
+            "ts + make_dt_interval(int(user_id % 21)) AS moved",
+            r"bigint(regexp_extract(props, '(\\d+)', 1)) AS k",
+        )
+        .withColumn("d", F.expr("bigint(datediff(to_date(moved), DATE'2024-01-01'))"))
+        .withColumn(
+            "kind",
+            F.expr(
+                """explode(array_compact(array(
+                    'base',
+                    IF(event_type = 'purchase' AND event_id % 41 = 0, 'resend', NULL),
+                    IF(event_type IN ('view', 'error') AND event_id % 97 = 0, 'copy', NULL),
+                    IF(event_type = 'click' AND event_id % 3 = 0, 'ship', NULL),
+                    IF(event_type = 'click' AND event_id % 4 = 0 AND d >= 14, 'cart', NULL))))"""
+            ),
         )
     )
-    return dated.withColumn("kind", F.explode(kinds))
 
 
 def _flat(raw: DataFrame) -> DataFrame:
-    event, user, kind, k, d = (F.col(c) for c in ("event_id", "user_id", "event_type", "k", "d"))
-    hit = F.col("kind")
-    plain = kind.isin("view", "error")
-    bought = kind == "purchase"
-    offset = (
-        F.when(hit == "resend", F.expr("interval 1 second"))
-        .when((hit == "ship") & (event % 2 == 0), F.expr("interval 0.0002 seconds"))
-        .when(hit == "ship", F.expr("interval -0.0002 seconds"))
-        .when(hit == "cart", F.expr("interval -30 seconds"))
-        .otherwise(F.expr("interval 0 seconds"))
-    )
-    name = (
-        F.when(hit == "cart", "add_to_cart")
-        .when(hit == "ship", "add_shipping_info")
-        .when(kind == "view", "view_item")
-        .when((kind == "click") & (user % 6 == 5) & (event % 4 != 0), "page_view")
-        .when(kind == "click", "begin_checkout")
-        .when((kind == "signup") & (user % 3 == 1) & (event % 2 == 0), "page_view")
-        .when(kind == "signup", "add_payment_info")
-        .when(kind == "error", "page_view")
-        .otherwise("purchase")
-    )
-    money = F.when(bought & (event % 37 != 0), F.when((d >= 42) & (event % 4 != 0), 0.0).otherwise(F.col("value")))
-    return _rows(raw).select(
-        "event_id",
-        "event_type",
-        "value",
-        "kind",
-        "k",
-        F.to_date(F.col("at") + offset).alias("event_date"),
-        (F.col("at") + offset).alias("event_ts"),
-        name.alias("event_name"),
-        F.when(~((kind == "error") & (event % 211 == 0)), user.cast("string")).alias("user_pseudo_id"),
-        F.when(~(plain & (event % 53 == 0)), d - d % 3).alias("ga_session_id"),
-        (
-            F.floor(d / 3) - F.floor(F.col("shift") / 3) + 1 + F.when(user % 7 == 0, 3).otherwise(0)
-        ).alias("ga_session_number"),
-        (k * 100).alias("engagement_time_msec"),
-        F.when(k % 2 == 0, "1").otherwise("0").alias("session_engaged"),
-        F.when(user % 6 == 5, WEAK_PAGE).otherwise(_pick(k % 7, PAGES)).alias("page_location"),
-        _pick(k % 8, {i: s for i, (s, _) in SOURCES.items()}).alias("session_source"),
-        _pick(k % 8, {i: m for i, (_, m) in SOURCES.items()}).alias("session_medium"),
-        F.when(k % 8 == 2, "spring").alias("session_campaign"),
-        _pick(user % 8, {i: s for i, (s, _) in SOURCES.items()}).alias("ft_source"),
-        _pick(user % 8, {i: m for i, (_, m) in SOURCES.items()}).alias("ft_medium"),
-        F.lit(None).cast("string").alias("ft_name"),
-        F.when(user % 3 == 0, "desktop")
-        .when(user % 3 == 1, "mobile")
-        .when(user % 15 != 2, "tablet")
-        .alias("device_category"),
-        F.when(user % 4 == 0, "<Other>").otherwise("Web").alias("operating_system"),
-        F.when(user % 9 == 0, "").otherwise("Chrome").alias("browser"),
-        F.when(user % 20 == 0, "(not set)").otherwise("X").alias("country"),
-        F.when(bought & (event % 3 == 0), "(not set)")
-        .when(bought & (event % 29 != 0), F.concat(F.lit("T"), event.cast("string")))
-        .alias("transaction_id"),
-        money.alias("purchase_revenue_usd"),
-        F.lit(None).cast("double").alias("shipping_usd"),
-        F.lit(None).cast("double").alias("tax_usd"),
-        F.when(bought, F.lit(2).cast("bigint")).alias("total_item_quantity"),
+    source, medium = ({i: pair[j] for i, pair in SOURCES.items()} for j in (0, 1))
+    return (
+        _rows(raw)
+        .withColumn(
+            "event_ts",
+            F.expr(
+                """moved + CASE
+                    WHEN kind = 'resend' THEN interval 1 second
+                    WHEN kind = 'ship' AND event_id % 2 = 0 THEN interval 0.0002 seconds
+                    WHEN kind = 'ship' THEN interval -0.0002 seconds
+                    WHEN kind = 'cart' THEN interval -30 seconds
+                    ELSE interval 0 seconds END"""
+            ),
+        )
+        .selectExpr(
+            "event_id",
+            "value",
+            "kind",
+            "k",
+            "to_date(event_ts) AS event_date",
+            "event_ts",
+            """CASE
+                WHEN kind = 'cart' THEN 'add_to_cart'
+                WHEN kind = 'ship' THEN 'add_shipping_info'
+                WHEN event_type = 'view' THEN 'view_item'
+                WHEN event_type = 'click' THEN IF(user_id % 6 = 5 AND event_id % 4 <> 0, 'page_view', 'begin_checkout')
+                WHEN event_type = 'signup' THEN IF(user_id % 3 = 1 AND event_id % 2 = 0, 'page_view', 'add_payment_info')
+                WHEN event_type = 'error' THEN 'page_view'
+                ELSE 'purchase' END AS event_name""",
+            "IF(event_type = 'error' AND event_id % 211 = 0, NULL, string(user_id)) AS user_pseudo_id",
+            "IF(event_type IN ('view', 'error') AND event_id % 53 = 0, NULL, d - d % 3) AS ga_session_id",
+            "d div 3 - shift div 3 + 1 + IF(user_id % 7 = 0, 3, 0) AS ga_session_number",
+            "k * 100 AS engagement_time_msec",
+            "IF(k % 2 = 0, '1', '0') AS session_engaged",
+            f"IF(user_id % 6 = 5, '{WEAK_PAGE}', {_pick('k % 7', PAGES)}) AS page_location",
+            f"{_pick('k % 8', source)} AS session_source",
+            f"{_pick('k % 8', medium)} AS session_medium",
+            "IF(k % 8 = 2, 'spring', NULL) AS session_campaign",
+            f"{_pick('user_id % 8', source)} AS ft_source",
+            f"{_pick('user_id % 8', medium)} AS ft_medium",
+            "string(NULL) AS ft_name",
+            """CASE WHEN user_id % 3 = 0 THEN 'desktop' WHEN user_id % 3 = 1 THEN 'mobile'
+                WHEN user_id % 15 <> 2 THEN 'tablet' END AS device_category""",
+            "IF(user_id % 4 = 0, '<Other>', 'Web') AS operating_system",
+            "IF(user_id % 9 = 0, '', 'Chrome') AS browser",
+            "IF(user_id % 20 = 0, '(not set)', 'X') AS country",
+            """CASE WHEN event_type <> 'purchase' THEN NULL WHEN event_id % 3 = 0 THEN '(not set)'
+                WHEN event_id % 29 <> 0 THEN 'T' || event_id END AS transaction_id""",
+            """CASE WHEN event_type <> 'purchase' OR event_id % 37 = 0 THEN NULL
+                WHEN d >= 42 AND event_id % 4 <> 0 THEN 0D ELSE value END AS purchase_revenue_usd""",
+            "double(NULL) AS shipping_usd",
+            "double(NULL) AS tax_usd",
+            "IF(event_type = 'purchase', 2L, NULL) AS total_item_quantity",
+        )
     )
 
 
-def _item(n: int, price: Column, revenue: Column) -> Column:
-    return F.struct(
-        F.concat(F.lit("I"), (F.col("event_id") % 100).cast("string")).alias("item_id"),
-        F.lit(f"line {n}").alias("item_name"),
-        F.when(F.col("k") % 3 == 0, "Apparel").when(F.col("k") % 3 == 1, "Bags").alias("item_category"),
-        price.alias("price_in_usd"),
-        F.lit(1).cast("bigint").alias("quantity"),
-        revenue.cast("double").alias("item_revenue_in_usd"),
-    )
+def _item(line: int, price: str, revenue: str) -> str:
+    return f"""struct(
+        'I' || (event_id % 100) AS item_id, 'line {line}' AS item_name,
+        CASE k % 3 WHEN 0 THEN 'Apparel' WHEN 1 THEN 'Bags' END AS item_category,
+        {price} AS price_in_usd, 1L AS quantity, double({revenue}) AS item_revenue_in_usd)"""
 
 
-def _purchase_items() -> Column:
+def _purchase_items() -> str:
     """Two equal lines; short of the order by a fifth, or missing, for some; none on a re-sent hit."""
-    half = F.col("purchase_revenue_usd") / 2
-    sold = half * F.when(F.col("event_id") % 10 == 0, 0.8).otherwise(1.0)
-    lines = F.array(_item(1, half, sold), _item(2, half, sold))
-    none = F.filter(lines, lambda x: F.lit(False))
-    return F.when((F.col("event_id") % 10 == 9) | (F.col("kind") == "resend"), none).otherwise(lines)
+    half = "purchase_revenue_usd / 2"
+    lines = f"array({', '.join(_item(i, half, f'{half} * IF(event_id % 10 = 0, 0.8D, 1D)') for i in (1, 2))})"
+    return f"IF(event_id % 10 = 9 OR kind = 'resend', slice({lines}, 1, 0), {lines})"
 
 
 def adapt_events(raw: DataFrame) -> DataFrame:
@@ -181,76 +168,59 @@ def adapt_events(raw: DataFrame) -> DataFrame:
 def adapt_items(raw: DataFrame) -> DataFrame:
     lines = (
         _flat(raw)
-        .filter(F.col("event_name") == "purchase")
-        .withColumn("item", F.explode(_purchase_items()))
-        .select(
-            "*",
+        .filter("event_name = 'purchase'")
+        .withColumn("item", F.expr(f"explode({_purchase_items()})"))
+        .selectExpr(
+            "* EXCEPT (item)",
             "item.item_id",
             "item.item_name",
             "item.item_category",
-            F.col("item.price_in_usd").alias("price_usd"),
+            "item.price_in_usd AS price_usd",
             "item.quantity",
-            F.col("item.item_revenue_in_usd").alias("item_revenue_usd"),
+            "item.item_revenue_in_usd AS item_revenue_usd",
         )
     )
     return conform(lines, ITEMS)
 
 
-def _param(key: str, text: Column | None = None, number: Column | None = None) -> Column:
-    value = F.struct(
-        (F.lit(None) if text is None else text).cast("string").alias("string_value"),
-        (F.lit(None) if number is None else number).cast("bigint").alias("int_value"),
+def _param(key: str, slot: str, value: str, when: str = "true") -> str:
+    text, number = (value, "bigint(NULL)") if slot == "string" else ("string(NULL)", value)
+    return (
+        f"IF({when} AND {value} IS NOT NULL,"
+        f" struct('{key}' AS key, struct({text} AS string_value, {number} AS int_value) AS value), NULL)"
     )
-    present = text if text is not None else number
-    return F.when(present.isNotNull(), F.struct(F.lit(key).alias("key"), value.alias("value")))
 
 
 def nest(raw: DataFrame) -> DataFrame:
     """The same export as nested records, with repeated keys, values in the other slot and empty arrays."""
-    c = F.col
-    k, name = c("k"), c("event_name")
-    params = F.array_compact(
-        F.array(
-            _param("ga_session_id", number=c("ga_session_id")),
-            _param("ga_session_number", number=c("ga_session_number")),
-            _param("engagement_time_msec", number=c("engagement_time_msec")),
-            _param("session_engaged", text=F.when(k % 3 != 0, c("session_engaged"))),
-            _param("session_engaged", number=F.when(k % 3 == 0, c("session_engaged").cast("bigint"))),
-            _param("page_location", text=c("page_location")),
-            _param("page_location", text=F.when((k % 5 == 0) & c("page_location").isNotNull(), F.lit("about:blank"))),
-            _param("source", text=c("session_source")),
-            _param("source", number=F.when(k % 11 == 0, k)),
-            _param("medium", text=c("session_medium")),
-            _param("campaign", text=c("session_campaign")),
-        )
-    )
-    one = F.array(_item(0, c("value"), F.lit(None)))
-    items = (
-        F.when(name == "purchase", _purchase_items())
-        .when(name.isin("view_item", "page_view"), one)
-        .when(name != "begin_checkout", F.filter(one, lambda x: F.lit(False)))
-    )
-    return _flat(raw).select(
-        F.date_format("event_date", "yyyyMMdd").alias("event_date"),
-        F.unix_micros(c("event_ts").cast("timestamp")).alias("event_timestamp"),
+    params = [
+        _param("ga_session_id", "int", "ga_session_id"),
+        _param("ga_session_number", "int", "ga_session_number"),
+        _param("engagement_time_msec", "int", "engagement_time_msec"),
+        _param("session_engaged", "string", "session_engaged", "k % 3 <> 0"),
+        _param("session_engaged", "int", "bigint(session_engaged)", "k % 3 = 0"),
+        _param("page_location", "string", "page_location"),
+        _param("page_location", "string", "'about:blank'", "k % 5 = 0 AND page_location IS NOT NULL"),
+        _param("source", "string", "session_source"),
+        _param("source", "int", "k", "k % 11 = 0"),
+        _param("medium", "string", "session_medium"),
+        _param("campaign", "string", "session_campaign"),
+    ]
+    one = f"array({_item(0, 'value', 'NULL')})"
+    return _flat(raw).selectExpr(
+        "date_format(event_date, 'yyyyMMdd') AS event_date",
+        "unix_micros(timestamp(event_ts)) AS event_timestamp",
         "event_name",
         "user_pseudo_id",
-        params.alias("event_params"),
-        F.struct(
-            c("ft_source").alias("source"), c("ft_medium").alias("medium"), c("ft_name").alias("name")
-        ).alias("traffic_source"),
-        F.struct(
-            c("device_category").alias("category"), "operating_system", F.struct("browser").alias("web_info")
-        ).alias("device"),
-        F.struct("country").alias("geo"),
-        F.struct(
-            "transaction_id",
-            c("purchase_revenue_usd").alias("purchase_revenue_in_usd"),
-            c("shipping_usd").alias("shipping_value_in_usd"),
-            c("tax_usd").alias("tax_value_in_usd"),
-            "total_item_quantity",
-        ).alias("ecommerce"),
-        items.alias("items"),
+        f"array_compact(array({', '.join(params)})) AS event_params",
+        "struct(ft_source AS source, ft_medium AS medium, ft_name AS name) AS traffic_source",
+        "struct(device_category AS category, operating_system, struct(browser) AS web_info) AS device",
+        "struct(country) AS geo",
+        """struct(transaction_id, purchase_revenue_usd AS purchase_revenue_in_usd,
+            shipping_usd AS shipping_value_in_usd, tax_usd AS tax_value_in_usd, total_item_quantity) AS ecommerce""",
+        f"""CASE WHEN event_name = 'purchase' THEN {_purchase_items()}
+            WHEN event_name IN ('view_item', 'page_view') THEN {one}
+            WHEN event_name <> 'begin_checkout' THEN slice({one}, 1, 0) END AS items""",
     )
 
 

@@ -69,7 +69,7 @@ class Tables:
 
     @cached_property
     def m(self) -> Models:
-        return Models(self.events, self.items, CFG)
+        return Models(self.events, CFG)
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -1335,7 +1335,7 @@ add(
         "tree",
     ),
 )
-GAINS = f"""SELECT week_start, share_aov, list_filter(list_reverse_sort([{', '.join(f"{{'share': share_{c}, 'name': '{c}'}}" for c in LOGS)}]), g -> g.share > 0) AS gains
+GAINS = f"""SELECT week_start, share_aov, list_filter(list_reverse_sort([{', '.join(f"{{'share': share_{c}, 'name': '{c}'}}" for c in LOGS)}]), lambda g: g.share > 0) AS gains
     FROM (SELECT week_start, {', '.join(f'log_{c} / nullif(total, 0) AS share_{c}' for c in LOGS)} FROM ({PEAK}))"""
 add(
     "x10_growth_drivers",

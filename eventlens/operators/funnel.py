@@ -4,37 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DAY_SECONDS = 86_400
-_SPAN_SECONDS = 3_600
+# Whole seconds since 1970 from calendar fields, so that no time zone takes part.
+SECOND = "unix_date(to_date(event_ts)) * 86400L + hour(event_ts) * 3600 + minute(event_ts) * 60 + int(second(event_ts))"
 
 
 def funnel_events(hits: DataFrame, steps: Sequence[str]) -> DataFrame:
     """Only the rows and columns a funnel needs: (session_key, step number, event_ts)."""
-    number = F.lit(None).cast("int")
-    for i, step in reversed(list(enumerate(steps))):
-        number = F.when(F.col("event_name") == step, i).otherwise(number)
-    return hits.filter(F.col("event_name").isin(*steps)).select("session_key", number.alias("step"), "event_ts")
-
-
-def _second(ts: Column) -> Column:
-    """Whole seconds since 1970, from calendar fields so that no time zone takes part."""
-    in_day = F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
-    return F.unix_date(F.to_date(ts)).cast("bigint") * _DAY_SECONDS + in_day
-
-
-def _step_bit(depth: int) -> Column:
-    """The row's step as one bit of the set of steps seen."""
-    out = F.lit(0).cast("bigint")
-    for i in range(depth):
-        out = F.when(F.col("step") == i, F.lit(1 << i).cast("bigint")).otherwise(out)
-    return out
-
-
-def _walk(moves: Column, start: int, advance) -> Column:
-    return F.aggregate(moves, F.lit(start), advance)
+    names = ", ".join(f"'{s}'" for s in steps)
+    return hits.filter(f"event_name IN ({names})").selectExpr(
+        "session_key", f"array_position(array({names}), event_name) - 1 AS step", "event_ts"
+    )
 
 
 def session_funnel(hits: DataFrame, steps: Sequence[str]) -> DataFrame:
@@ -54,47 +36,38 @@ def session_funnel(hits: DataFrame, steps: Sequence[str]) -> DataFrame:
 
     Copies of a row change nothing here, so ``placeable_hits`` is the input to use.
     """
-    depth = len(steps)
-
-    def end(move: Column, state: Column) -> Column:
-        return F.when(state < depth, F.element_at(move, state + 1)).otherwise(state)
-
-    def compose(column: str) -> Column:
-        moves = F.array_sort(F.collect_list(F.struct("at", "move")))
-        return moves.alias(column)
-
-    timed = funnel_events(hits, steps).withColumn("second", _second(F.col("event_ts")))
-    seconds = timed.groupBy("session_key", "second").agg(
-        F.array_sort(
-            F.collect_set(F.when(F.col("event_ts").isNotNull(), F.struct("event_ts", "step")))
-        ).alias("events"),
-        F.bit_or(_step_bit(depth)).alias("seen"),
-    )
-    seconds = seconds.select(
-        "session_key",
-        F.floor(F.col("second") / _SPAN_SECONDS).alias("hour"),
-        F.col("second").alias("at"),
-        F.array(
-            *[
-                _walk(F.col("events"), s, lambda state, e: F.when(e["step"] == state, state + 1).otherwise(state))
-                for s in range(depth)
-            ]
-        ).alias("move"),
-        "seen",
+    k = len(steps)
+
+    def move(walk) -> str:
+        return f"array({', '.join(walk(s) for s in range(k))}) AS move"
+
+    def within_second(start: int) -> str:
+        return f"aggregate(hits, {start}, (depth, e) -> IF(e.step = depth, depth + 1, depth))"
+
+    def across(start: int) -> str:
+        return f"aggregate(parts, {start}, (depth, p) -> IF(depth < {k}, p.move[depth], depth))"
+
+    in_order = "array_sort(collect_list(struct(at, move))) AS parts"
+    seen = "bit_or(seen) AS seen"
+    seconds = _grouped(
+        funnel_events(hits, steps).selectExpr("*", f"{SECOND} AS at"),
+        ["session_key", "at"],
+        "array_sort(collect_set(IF(event_ts IS NULL, NULL, struct(event_ts, step)))) AS hits",
+        "bit_or(shiftleft(1, int(step))) AS seen",
+    ).selectExpr("session_key", "at div 3600 AS hour", "at", move(within_second), "seen")
+    hours = _grouped(seconds, ["session_key", "hour"], in_order, seen).selectExpr(
+        "session_key", "hour AS at", move(across), "seen"
     )
-    hours = seconds.groupBy("session_key", "hour").agg(compose("moves"), F.bit_or("seen").alias("seen"))
-    hours = hours.select(
-        "session_key",
-        F.col("hour").alias("at"),
-        F.array(
-            *[_walk(F.col("moves"), s, lambda state, e: end(e["move"], state)) for s in range(depth)]
-        ).alias("move"),
-        "seen",
-    )
-    sessions = hours.groupBy("session_key").agg(compose("moves"), F.bit_or("seen").alias("seen"))
-    reached = _walk(F.col("moves"), 0, lambda state, e: end(e["move"], state))
-    return sessions.select("session_key", "seen", reached.alias("depth")).select(
-        "session_key",
-        *[F.getbit(F.col("seen"), F.lit(i)).cast("int").alias(f"any_{step}") for i, step in enumerate(steps)],
-        *[(F.col("depth") > i).cast("int").alias(f"reached_{step}") for i, step in enumerate(steps)],
+    return (
+        _grouped(hours, ["session_key"], in_order, seen)
+        .selectExpr("session_key", "seen", f"{across(0)} AS depth")
+        .selectExpr(
+            "session_key",
+            *[f"int(getbit(seen, {i})) AS any_{step}" for i, step in enumerate(steps)],
+            *[f"int(depth > {i}) AS reached_{step}" for i, step in enumerate(steps)],
+        )
     )
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])

@@ -60,9 +60,9 @@ def build(spark: SparkSession, raw: str, out: str, cfg: Config | None = None) ->
     events, items = readers.read_events(spark, raw), readers.read_items(spark, raw)
     report = sinks.materialise(audit.audit(events, items, cfg), f"{out}/audit")
     audit.require_pass(report)
-    m = materialise_models(Models(events, items, cfg), f"{out}/models")
+    m = materialise_models(Models(events, cfg), f"{out}/models")
     require_agreement(m)
-    blocks: dict[str, DataFrame] = {**result_blocks(m), "audit": report}
+    blocks: dict[str, DataFrame] = {**result_blocks(m, items), "audit": report}
     sinks.write_results(blocks, f"{out}/results")
     sinks.write_exports(export_frames(m), f"{out}/exports")
     return m

@@ -1,4 +1,4 @@
-"""All models of one pair of raw tables, lazily composed or built table by table."""
+"""All models of one events table, lazily composed or built table by table."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from eventlens.operators import areas, cohorts, funnel, purchases, segments, ses
 
 @dataclass
 class Models:
-    """Lazy frames. Each is a plan over the raw tables until ``build`` writes it.
+    """Lazy frames. Each is a plan over the raw table until ``build`` writes it.
 
     Minima, maxima and flags read ``hits`` (copies still in, no shuffle); only page
     views and purchases, which are counts, read the de-duplicated ``stg_events``, and
@@ -22,7 +22,6 @@ class Models:
     """
 
     events: DataFrame
-    items: DataFrame
     cfg: Config
 
     @cached_property

@@ -9,7 +9,7 @@ from eventlens.plans.models import Models
 from eventlens.sources import sinks
 
 
-def result_blocks(m: Models) -> dict[str, DataFrame]:
+def result_blocks(m: Models, items: DataFrame) -> dict[str, DataFrame]:
     """Name to frame; each is small, and none is computed until it is written or shown."""
     cfg, seg = m.cfg, m.funnel_segments
     ordered = analysis.funnel_rates(seg, cfg.steps)
@@ -22,7 +22,7 @@ def result_blocks(m: Models) -> dict[str, DataFrame]:
     design = experiment.experiment_design(m.user_windows, target, cfg)
     return {
         "summary": audit.summary(m.events),
-        "audit": audit.audit(m.events, m.items, cfg),
+        "audit": audit.audit(m.events, items, cfg),
         "headline": analysis.headline(seg),
         "leak": analysis.biggest_leak(everyone),
         "target": target,

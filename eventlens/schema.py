@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
     DecimalType,
@@ -81,4 +80,4 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
         raise ValueError(f"source is missing columns: {missing}")
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema])
