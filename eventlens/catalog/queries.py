@@ -507,10 +507,8 @@ add(
 
 def chained_step(t: Tables) -> DataFrame:
     rows = t.m.hits.select(F.col("session_key").alias("k"), "event_name", "event_ts")
-    first = (
-        rows.filter(F.col("event_name") == STEPS[0]).groupBy("k").agg(F.min("event_ts").alias("t"))
-    )
-    return crosscheck.first_after(rows.filter(F.col("event_name") == STEPS[1]).select("k", "event_ts"), first)
+    second = rows.filter(F.col("event_name") == STEPS[1]).select("k", "event_ts")
+    return crosscheck.first_after(second, crosscheck.first_step(rows, STEPS)).select("k", "t")
 
 
 add(

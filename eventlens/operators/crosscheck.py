@@ -11,24 +11,51 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.operators.skew import join_unique
 from eventlens.schema import MONEY
 
 COLUMNS = ("user_pseudo_id", "ga_session_id", "event_name", "event_ts", "transaction_id", "purchase_revenue_usd")
 REVENUE_TOLERANCE = 0.01
 
 
-def first_after(events: DataFrame, previous: DataFrame, **skew) -> DataFrame:
-    """Per session: the first of ``events`` at or after the previous step's time ``t``."""
+# Hours since 1970 from calendar fields; grows with time, which is all the join needs.
+HOUR = "datediff({0}, DATE'1970-01-01') * 24 + hour({0})"
+
+
+def first_after(events: DataFrame, previous: DataFrame) -> DataFrame:
+    """Per session: the first of ``events`` at or after the previous step's time ``t``.
+
+    ``events`` has (k, event_ts); ``previous`` has one row per session (k, t, last) with
+    the session's last funnel time. A session's state is repeated for each hour from
+    ``t`` to ``last`` and matched on (session, hour), so a session with much of the table
+    is spread over its hours, while an ordinary one has an hour or two. Minima are
+    combined before the shuffle by session.
+    """
+    hours = previous.select(
+        "k", "t", "last", F.explode(F.expr(f"sequence({HOUR.format('t')}, {HOUR.format('last')})")).alias("hour")
+    )
     return (
-        join_unique(events, previous, "k", **skew)
+        events.withColumn("hour", F.expr(HOUR.format("event_ts")))
+        .join(hours, ["k", "hour"])
         .filter(F.col("event_ts") >= F.col("t"))
         .groupBy("k")
-        .agg(F.min("event_ts").alias("t"))
+        .agg(F.min("event_ts").alias("t"), F.max("last").alias("last"))
+    )
+
+
+def first_step(rows: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """Sessions with the first step: its first time, and the last time of any step."""
+    return (
+        rows.filter(F.col("event_name").isin(*steps))
+        .groupBy("k")
+        .agg(
+            F.min(F.when(F.col("event_name") == steps[0], F.col("event_ts"))).alias("t"),
+            F.max("event_ts").alias("last"),
+        )
+        .filter(F.col("t").isNotNull())
     )
 
 
-def recompute(events: DataFrame, steps: Sequence[str], **skew) -> DataFrame:
+def recompute(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     """(metric, value) rows: sessions, reached_<step>, purchases, revenue_usd."""
     rows = (
         events.select(*COLUMNS)
@@ -40,13 +67,10 @@ def recompute(events: DataFrame, steps: Sequence[str], **skew) -> DataFrame:
         return df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
 
     out = metric(rows.select("k").distinct(), "sessions")
-    reached: DataFrame | None = None
-    for step in steps:
-        hits = rows.filter(F.col("event_name") == step).select("k", "event_ts")
-        if reached is None:
-            reached = hits.groupBy("k").agg(F.min("event_ts").alias("t")).filter(F.col("t").isNotNull())
-        else:
-            reached = first_after(hits, reached, **skew)
+    reached = first_step(rows, steps)
+    out = out.unionByName(metric(reached, f"reached_{steps[0]}"))
+    for step in steps[1:]:
+        reached = first_after(rows.filter(F.col("event_name") == step).select("k", "event_ts"), reached)
         out = out.unionByName(metric(reached, f"reached_{step}"))
     orders = (
         rows.filter(F.col("event_name") == "purchase")

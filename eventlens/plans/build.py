@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +13,16 @@ from eventlens.plans.models import Models
 from eventlens.plans.results import export_frames, result_blocks
 from eventlens.sources import readers, sinks
 
-# Build order: each table is written once and the next ones start from the file.
-TABLES = (
-    "stg_events",
-    "purchases",
-    "session_funnel",
-    "sessions",
-    "funnel_segments",
-    "weekly_metrics",
-    "cohort_retention",
-    "area_funnel",
-    "user_windows",
+# Build order. Tables of one stage do not depend on each other and are written side by
+# side; the next stage starts from the files.
+STAGES = (
+    ("stg_events", "session_funnel"),
+    ("purchases",),
+    ("sessions",),
+    ("funnel_segments", "weekly_metrics", "cohort_retention", "area_funnel", "user_windows"),
 )
 
+
 class ChecksFailed(RuntimeError):
     """The models contradict a data test or the independent computation."""
 
@@ -34,18 +33,31 @@ def materialise_models(m: Models, out: str) -> Models:
     Assigning a written table replaces the cached plan, so each later model is a
     plan over that table.
     """
-    for name in TABLES:
-        setattr(m, name, sinks.materialise(getattr(m, name), f"{out}/{name}"))
+    for stage in STAGES:
+        plans = {name: getattr(m, name) for name in stage}
+        written = sinks.side_by_side(
+            {name: partial(sinks.materialise, plan, f"{out}/{name}") for name, plan in plans.items()}
+        )
+        for name, table in written.items():
+            setattr(m, name, table)
     return m
 
 
 def require_agreement(m: Models) -> None:
+    """Data tests and cross-check, side by side; raise on the first that fails."""
+    sinks.side_by_side({"tests": lambda: require_tests(m), "crosscheck": lambda: require_crosscheck(m)})
+
+
+def require_tests(m: Models) -> None:
     failures = checks.run_all(
         m.sessions, m.weekly_metrics, m.cohort_retention, m.area_funnel, m.user_windows, m.cfg.steps
     ).filter(F.col("failures") > 0)
     broken = {r["check"]: r["failures"] for r in failures.collect()}  # a row per check
     if broken:
         raise ChecksFailed(f"data tests failed: {broken}")
+
+
+def require_crosscheck(m: Models) -> None:
     gaps = crosscheck.differences(
         crosscheck.recompute(m.events, m.cfg.steps), crosscheck.model_totals(m.funnel_segments, m.cfg.steps)
     )
@@ -59,10 +71,15 @@ def build(spark: SparkSession, raw: str, out: str, cfg: Config | None = None) ->
     cfg = cfg or Config()
     events, items = readers.read_events(spark, raw), readers.read_items(spark, raw)
     report = sinks.materialise(audit.audit(events, items, cfg), f"{out}/audit")
-    audit.require_pass(report)
+    audit.require_pass(report)  # nothing is built on rows that fail
     m = materialise_models(Models(events, cfg), f"{out}/models")
     require_agreement(m)
     blocks: dict[str, DataFrame] = {**result_blocks(m, items), "audit": report}
-    sinks.write_results(blocks, f"{out}/results")
-    sinks.write_exports(export_frames(m), f"{out}/exports")
+    exports = export_frames(m)
+    sinks.side_by_side(
+        {
+            "results": lambda: sinks.write_results(blocks, f"{out}/results"),
+            "exports": lambda: sinks.write_exports(exports, f"{out}/exports"),
+        }
+    )
     return m

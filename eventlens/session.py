@@ -16,6 +16,8 @@ SETTINGS = {
     # Re-running one day of an ingest must replace that day only.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keep small sets and lists per group in memory; the default gives up after 128 groups.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # Recording a Python call site for every column costs more than planning the query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

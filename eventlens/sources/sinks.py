@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.stats import double
 
+T = TypeVar("T")
+
 # Step names as a dashboard shows them.
 STEP_LABELS = {
     "view_item": "1 Viewed products",
@@ -149,13 +155,28 @@ def _sorted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(k[1:]).desc() if k.startswith("-") else F.col(k).asc() for k in keys])
 
 
+def side_by_side(jobs: Mapping[str, Callable[[], T]], at_once: int = 8) -> dict[str, T]:
+    """Run independent Spark jobs from several threads, so small ones do not wait for each other."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        started = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        return {name: job.result() for name, job in started.items()}
+
+
 def write_exports(exports: Mapping[str, DataFrame], out: str) -> None:
     """One CSV with a header per export; each is a few aggregated rows."""
-    for name, df in exports.items():
-        _sorted(df, EXPORT_ORDER[name]).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+
+    def write(name: str) -> None:
+        rows = _sorted(exports[name], EXPORT_ORDER[name]).coalesce(1)
+        rows.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+
+    side_by_side({name: partial(write, name) for name in exports})
 
 
 def write_results(blocks: Mapping[str, DataFrame], out: str) -> None:
     """The results document: one JSON part per block, written by Spark, nothing collected."""
-    for name, df in blocks.items():
-        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
+
+    def write(name: str) -> None:
+        rows = blocks[name].coalesce(1)
+        rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/{name}")
+
+    side_by_side({name: partial(write, name) for name in blocks})
