@@ -8,7 +8,7 @@ from functools import partial
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.stats import double
@@ -157,8 +157,9 @@ def _sorted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def side_by_side(jobs: Mapping[str, Callable[[], T]], at_once: int = 8) -> dict[str, T]:
     """Run independent Spark jobs from several threads, so small ones do not wait for each other."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        started = {name: pool.submit(inheritable_thread_target(job)) for name, job in jobs.items()}
+        started = {name: pool.submit(inherit(job)) for name, job in jobs.items()}
         return {name: job.result() for name, job in started.items()}
 
 

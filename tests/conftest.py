@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from eventlens.session import local_session
 
-    session = local_session("tests", 8, **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session("tests", 8, **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
