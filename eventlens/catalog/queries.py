@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 from functools import cached_property, reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,8 +97,10 @@ class Tables:
         return analysis.target_step(self.gap, self.everyone)
 
     @cached_property
-    def steps_per_session(self) -> DataFrame:
-        return audit.session_steps(self.events, *audit.AUDIT_STEPS)
+    def session_totals(self) -> DataFrame:
+        return audit.session_totals(
+            audit.session_steps(self.events, *audit.AUDIT_STEPS), CFG.coverage_min_sessions
+        )
 
     @cached_property
     def populations(self) -> DataFrame:
@@ -291,7 +294,7 @@ SES_SQL = (
 )
 add(
     "s14_materialised_sessions",
-    lambda t: sinks.materialise(t.m.sessions, f"{scratch_dir(t.spark)}/sessions-{abs(hash(t.sf_dir))}"),
+    lambda t: sinks.materialise(t.m.sessions, f"{scratch_dir(t.spark)}/sessions-{uuid4()}"),
     sql(f"SELECT {SES_SQL} FROM ses", "ses"),
 )
 add(
@@ -615,7 +618,7 @@ Q16_SQL = f"""SELECT {n(f"count(*) FILTER (WHERE user_pseudo_id IS NOT NULL AND
     FROM audit_sessions"""
 add(
     "j11_purchase_and_checkout",
-    lambda t: audit.purchase_before_checkout(t.steps_per_session),
+    lambda t: audit.purchase_before_checkout(t.session_totals),
     sql(Q16_SQL, "audit_sessions"),
 )
 
@@ -1028,7 +1031,7 @@ add(
 )
 add(
     "q16_purchase_without_prior_checkout",
-    lambda t: audit.purchase_before_checkout(t.steps_per_session),
+    lambda t: audit.purchase_before_checkout(t.session_totals),
     sql(Q16_SQL, "audit_sessions"),
 )
 COVER = {
@@ -1038,9 +1041,7 @@ COVER = {
 COVER_CHANGED = f"{COVER['rate_low']} < 0.1 AND {COVER['rate_high']} > 0.5"
 add(
     "q17_add_to_cart_coverage",
-    lambda t: audit.step_coverage(
-        t.steps_per_session, "add_to_cart", "begin_checkout", CFG.coverage_min_sessions
-    ),
+    lambda t: audit.step_coverage(t.session_totals),
     sql(
         f"""SELECT {n('sum(n)')} AS given_sessions, {n('sum(k)')} AS with_step, {r(COVER['rate_low'])} AS min_weekly, {r(COVER['rate_high'])} AS max_weekly,
             {day('min(week) FILTER (WHERE judged AND k >= 0.1 * n)')} AS first_tracked_week,
@@ -1052,7 +1053,7 @@ add(
 GAP_US = "abs(epoch_us(t_add_shipping_info) - epoch_us(t_begin_checkout))"
 add(
     "q18_checkout_shipping_simultaneous",
-    lambda t: audit.simultaneous_events(t.steps_per_session, "begin_checkout", "add_shipping_info"),
+    lambda t: audit.simultaneous_events(t.session_totals),
     sql(
         f"""SELECT {n(f'count({GAP_US})')} AS both, {n(f'count(*) FILTER (WHERE {GAP_US} < 1000000)')} AS near,
             {n('count(*) FILTER (WHERE t_add_shipping_info < t_begin_checkout)')} AS second_first,
@@ -1080,7 +1081,7 @@ add(
 )
 add(
     "q21_sessions_without_source",
-    lambda t: audit.source_coverage(t.steps_per_session),
+    lambda t: audit.source_coverage(t.session_totals),
     sql(f"SELECT {r('1 - count(source)::DOUBLE / count(*)')} AS no_source FROM audit_sessions", "audit_sessions"),
 )
 REST_SQL = [
