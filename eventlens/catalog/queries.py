@@ -1323,7 +1323,6 @@ add(
 add("x9_retention_matrix", lambda t: analysis.retention_matrix(t.m.cohort_retention, list(OFFSETS)), PIVOT_SQL)
 add("x9_retention_weighted", lambda t: analysis.weighted_retention(t.m.cohort_retention, CFG.retention_offsets), WEIGHTED_SQL)
 add("x10_largest_gap", lambda t: analysis.largest_gap(t.gap), sql(f"SELECT {r('max(abs(gap))')} AS max_gap FROM gap", "gap"))
-PARTS = ", ".join(f"{{'change': log_{c}, 'name': '{c}'}}" for c in LOGS)
 add(
     "x10_quietest_week",
     lambda t: analysis.quietest_week(t.tree),
