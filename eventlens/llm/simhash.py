@@ -141,7 +141,9 @@ def edited_likeness(docs: DataFrame, conf: Votes = Votes()) -> DataFrame:
     of each range whose successor is the first of a later range is finished by a join on the range's number.
     """
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(partitions(docs), "doc_id", F.xxhash64("text"), "text").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # Bounds are drawn from ids and hashes: a sample of texts would go to the driver.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = ordered.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order, "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {EDITED}, part int, head string, tail string"
     kept = written(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_by_pairs(conf), schema), "simhash")
     heads = kept.filter(F.col("head").isNotNull()).select("part", "head")
