@@ -71,7 +71,8 @@ def quantiser(unit: np.ndarray, n: int, conf: Near) -> Codes:
     mean = unit.mean(axis=0)
     centred = unit - mean
     spread = max(float((centred**2).sum(axis=1).mean()), 1e-9)
-    likeness = 1 - math.acos(max(-1.0, min(1.0, 1 - (1 - conf.threshold) / spread))) / math.pi
+    # Centring widens angles; at worst bits of linked vectors agree no more often than those of others.
+    likeness = max(0.5, 1 - math.acos(max(-1.0, min(1.0, 1 - (1 - conf.threshold) / spread))) / math.pi)
     length = max(4, math.ceil(math.log2(max(n, 2) / conf.bucket)))
     tables = max(4, math.ceil(math.log(1 - conf.recall) / math.log(1 - likeness**length)))
     _, axes = np.linalg.eigh(centred.T @ centred)
