@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from eventlens.llm import bpe, chat, embeddings, jaccard, mixing, quality, records, simhash, toxicity, warc
 from eventlens.llm.common import work_dir
+from eventlens.llm.oracle import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -86,4 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality, op2_simhash, op3_toxicity, op4_token_records, op5_jaccard, op6_embeddings, op7_bpe, op8_mixing, op9_warc, op10_chat, pipeline)
 }
-ORACLES: dict[str, str] = {}
