@@ -98,8 +98,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, pattern:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    # Bounds are drawn from ids and hashes: a sample of texts would go to the driver.
+    order = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order, "text")
     rows.mapInArrow(work, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
