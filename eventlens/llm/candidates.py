@@ -2,7 +2,7 @@
 
 A row has a sketch of fixed length and keys of the buckets it starts in. Buckets of one row go; in buckets of up to
 ``limit`` rows all sketches are compared; a larger bucket is split again by more of the sketch, after all its
-rows were compared with one of them, the pivot. Rows that are surely like the pivot leave the bucket: whatever
+rows were compared with one of them, the pivot (the same in all buckets that hold the same rows). Rows that are surely like the pivot leave the bucket: whatever
 is like them is near enough to the pivot to be connected with it (``attach`` allows for that). So a large group of near
 copies goes in a few rounds of linear work, and no bucket larger than the limit is ever gathered in a task.
 
@@ -79,7 +79,7 @@ def edges(starts: DataFrame, sketches: DataFrame, rule: Rule, name: str) -> Data
         largest = sizes.agg(F.max("_rows")).first()[0] or 0
         if level >= rule.depth or largest <= rule.limit:
             return found
-        pivot = large.groupBy("key").agg(F.min_by(F.struct("node", "sketch"), F.xxhash64("node", "key")).alias("_pivot"))
+        pivot = large.groupBy("key").agg(F.min_by(F.struct("node", "sketch"), F.xxhash64("node", F.lit(level))).alias("_pivot"))
         pivot = written(pivot.select("key", F.col("_pivot.node").alias("_to"), F.col("_pivot.sketch").alias("_like")), f"{name}-pivots")
         split = large.select("key", "node", "sketch").join(pivot, "key")
         split = written(split.mapInArrow(_split(rule), "a long, b long, key long, node long, sketch binary"), f"{name}-split")
