@@ -187,7 +187,8 @@ def join(docs: DataFrame, conf: Join = Join()) -> tuple[DataFrame, DataFrame]:
     maybe = components(edges, "jaccard-maybe")
     asked = written(by.select("node", "set_id", "first_id", "copies").join(maybe, "node"), "jaccard-asked")
     # One document of each class brings the text; another text under the same id is told apart by its set.
-    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # A sorted merge at every size: what is asked for grows with the documents and is never broadcast.
+    texts = docs.select("doc_id", "text").join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = _with_sets(texts.select("text", "set_id", "node", F.col("root").alias("component"), "copies"), conf).filter("set_id = _set_id")
     one = texts.select("set_id", "node", "component", "copies", "_set").dropDuplicates(["set_id"])
     found = exact.links(written(one.drop("set_id"), "jaccard-sets"), _linked(conf.threshold), "jaccard-links")
