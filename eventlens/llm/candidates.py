@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import runs, written
+from eventlens.llm.common import written
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``alike(a, b)``: estimated likeness of all rows of two sketch matrices. ``children(keys, sketches)``: (row, new key).
+    """``alike(a, b)``: estimated likeness of rows of two sketch arrays, over their last axis, with numpy's broadcasting.
+    ``children(keys, sketches)``: (row, new key).
 
     ``near`` is the likeness from which two rows are connected, ``leave`` that from which a row is done with
     once it is connected with its pivot, and ``attach`` that from which a row is connected with a pivot.
@@ -87,33 +88,68 @@ def edges(starts: DataFrame, sketches: DataFrame, rule: Rule, name: str) -> Data
         rows, with_sketch, level = split.filter("key is not null").select("key", "node", "sketch"), True, level + 1
 
 
+#: Buckets of up to so many rows are compared many at a time, pair by pair, and put out their pairs.
+SMALL = 8
+
+
 def _leaves(rule: Rule) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        for bucket in runs(batches, ["key"]):
-            node = bucket.column("node").to_numpy()
-            sketch = rule.matrix(bucket.column("sketch"))
-            node, first = np.unique(node, return_index=True)
-            if len(node) < 2:
-                continue
-            # Beyond the limit (only at the last level) in strips, each with its forest.
-            for x in range(0, len(node), rule.limit):
-                for y in range(x, len(node), rule.limit):
-                    at = np.unique(np.concatenate([np.arange(x, min(x + rule.limit, len(node))), np.arange(y, min(y + rule.limit, len(node)))]))
-                    own = sketch[first[at]]
-                    label = forest(rule.alike(own, own) >= rule.near)
-                    moved = np.flatnonzero(label != np.arange(len(at)))
-                    a.append(node[at[moved]])
-                    b.append(node[at[label[moved]]])
-            if sum(map(len, a)) > 10_000:
-                yield _edges(a, b)
-                a, b = [], []
-        yield _edges(a, b)
+        for rows in _whole_buckets(batches):
+            key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
+            sketch = rule.matrix(rows.column("sketch"))
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            for n in range(2, SMALL + 1):
+                first = start[size == n]
+                x, y = (np.ravel(first[:, None] + at[None, :]) for at in np.triu_indices(n, 1))
+                for k in range(0, len(x), 8192):
+                    u, v = x[k : k + 8192], y[k : k + 8192]
+                    near = (rule.alike(sketch[u], sketch[v]) >= rule.near) & (node[u] != node[v])
+                    a.append(np.maximum(node[u], node[v])[near])
+                    b.append(np.minimum(node[u], node[v])[near])
+            for at, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                _forest_of(node[at : at + n], sketch[at : at + n], rule, a, b)
+            yield _edges(a, b)
 
     return work
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of a sorted partition, cut where a bucket ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        before = held[-1].column("key")[held[-1].num_rows - 1].as_py() if held else None
+        if held and before == key[-1]:
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch.slice(0, last)])
+        if table.num_rows:
+            yield table
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest_of(node: np.ndarray, sketch: np.ndarray, rule: Rule, a: list[np.ndarray], b: list[np.ndarray]) -> None:
+    node, first = np.unique(node, return_index=True)
+    # Beyond the limit (only at the last level) in strips, each with its forest.
+    for x in range(0, len(node), rule.limit):
+        for y in range(x, len(node), rule.limit):
+            at = np.unique(np.concatenate([np.arange(x, min(x + rule.limit, len(node))), np.arange(y, min(y + rule.limit, len(node)))]))
+            own = sketch[first[at]]
+            alike = np.concatenate([rule.alike(own[k : k + 64, None], own[None]) for k in range(0, len(at), 64)])
+            label = forest(alike >= rule.near)
+            moved = np.flatnonzero(label != np.arange(len(at)))
+            a.append(node[at[moved]])
+            b.append(node[at[label[moved]]])
+
+
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     empty = [np.zeros(0, np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a + empty)), pa.array(np.concatenate(b + empty))], ["a", "b"])
@@ -128,7 +164,7 @@ def _split(rule: Rule) -> Callable:
                 continue
             node, key, to = (batch.column(c).to_numpy() for c in ("node", "key", "_to"))
             sketch, pivot = rule.matrix(batch.column("sketch")), rule.matrix(batch.column("_like"))
-            like = np.concatenate([np.diagonal(rule.alike(sketch[k : k + 64], pivot[k : k + 64])) for k in range(0, len(node), 64)])
+            like = np.concatenate([rule.alike(sketch[k : k + 8192], pivot[k : k + 8192]) for k in range(0, len(node), 8192)])
             tied = np.flatnonzero((like >= rule.attach) & (node != to))
             none = [pa.nulls(len(tied), t) for t in (pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(to[tied]), *none], names)

@@ -93,10 +93,7 @@ def quantiser(unit: np.ndarray, n: int, conf: Near) -> Codes:
 
 def rule(codes: Codes, conf: Near) -> candidates.Rule:
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(a), len(b)), np.int32)
-        for k in range(a.shape[1]):
-            out += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
-        return 1 - out / bits
+        return 1 - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) / bits
 
     def children(keys: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Four more bits, the same ones for all rows of a bucket.

@@ -80,10 +80,7 @@ def _chosen(value: np.ndarray, conf: Join) -> np.ndarray:
 
 def rule(conf: Join) -> candidates.Rule:
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(a), len(b)), np.int32)
-        for at in range(0, conf.tokens, 16):
-            out += (a[:, None, at : at + 16] == b[None, :, at : at + 16]).sum(axis=2, dtype=np.int32)
-        return out / conf.tokens
+        return np.count_nonzero(a == b, axis=-1) / conf.tokens
 
     def children(keys: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = mix(np.arange(conf.tokens, dtype=np.uint64) + np.uint64(1 << 20))
