@@ -1,8 +1,8 @@
 """Designing a test on real baselines: power, A/A replay, CUPED, enrolment, sample ratio.
 
 Users are randomised while the metric is per session, so variances come from the
-delta method for a ratio. Every statistic is a closed form of sums, so a user table
-of any size is read once, combined in each task, and grouped by any segment.
+delta method for a ratio. Every statistic is a closed form of moments, so a user table
+of any size is combined in each task, and grouped by any segment.
 """
 
 from __future__ import annotations
@@ -27,41 +27,42 @@ from eventlens.functions.stats import (
     wilson,
 )
 
-SUMS = ("cnt", "sy", "sn", "syy", "snn", "syn")
 SRM_STOP = 0.001  # fixed value: p below which an experiment must stop
 
 
 # ---- ratio metrics ---------------------------------------------------------------
 
 
-def ratio_sums(df: DataFrame, y: str, n: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count and the five sums every ratio statistic below is made of."""
-    a, b = double(y), double(n)
+def ratio_spread(df: DataFrame, y: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """Users, totals, sample variances and covariance of a metric and its denominator.
+
+    Spark merges moments of parts, so large totals do not eat the digits of small variances.
+    """
+    top, bottom = double(y), double(n)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.sum(a).alias("sy"),
-        F.sum(b).alias("sn"),
-        F.sum(a * a).alias("syy"),
-        F.sum(b * b).alias("snn"),
-        F.sum(a * b).alias("syn"),
+        F.sum(top).alias("y_total"),
+        F.sum(bottom).alias("n_total"),
+        F.var_samp(top).alias("y_variance"),
+        F.var_samp(bottom).alias("n_variance"),
+        F.covar_samp(top, bottom).alias("covariance"),
     )
 
 
-def _residual(cnt: Column, sy: Column, sn: Column, syy: Column, snn: Column, syn: Column) -> tuple[Column, Column]:
-    """R = sum y / sum n, and var_samp of (y - R n): its mean is zero, so no second pass."""
-    r = ratio(sy, sn)
-    return r, (syy - r * syn * 2.0 + r * r * snn) / F.nullif(double(cnt) - 1.0, F.lit(0.0))
-
-
-def with_ratio_variance(sums: DataFrame) -> DataFrame:
-    """Add ``ratio`` and ``unit_variance``, the per-user variance of the linearised ratio."""
-    r, spread = _residual(*(F.col(c) for c in SUMS))
-    mean_n = ratio("sn", "cnt")
-    return sums.withColumn("ratio", r).withColumn("unit_variance", spread / F.nullif(mean_n * mean_n, F.lit(0.0)))
+def linear_variance(r: Column, y_variance: Column, n_variance: Column, covariance: Column) -> Column:
+    """Variance of y - r n."""
+    return y_variance + r * (r * n_variance - covariance * 2.0)
 
 
 def ratio_moments(df: DataFrame, y: str, n: str, by: Sequence[str] = ()) -> DataFrame:
-    return with_ratio_variance(ratio_sums(df, y, n, by))
+    """``ratio_spread`` with ``ratio`` and ``unit_variance``, the per-user variance of the linearised ratio."""
+    per_user = ratio("n_total", "cnt")
+    spread = linear_variance(F.col("ratio"), F.col("y_variance"), F.col("n_variance"), F.col("covariance"))
+    return (
+        ratio_spread(df, y, n, by)
+        .withColumn("ratio", ratio("y_total", "n_total"))
+        .withColumn("unit_variance", spread / F.nullif(per_user * per_user, F.lit(0.0)))
+    )
 
 
 def delta_method_test(df: DataFrame, arm: str, y: str, n: str, a: str = "A", b: str = "B") -> DataFrame:
@@ -104,7 +105,7 @@ def power_table(
     rows = moments.withColumn("rel_mde", _lifts(grid))
     users = F.ceil(mean_units(F.col("unit_variance"), F.col("ratio") * F.col("rel_mde"), alpha, power))
     naive = F.ceil(proportion_units(F.col("ratio"), F.col("rel_mde"), alpha, power))
-    per_user = ratio("sn", "cnt")
+    per_user = ratio("n_total", "cnt")
     return (
         rows.withColumn("users_per_arm", users)
         .withColumn("naive_sessions_per_arm", naive)
@@ -219,31 +220,19 @@ def detectable(
 ) -> DataFrame:
     """Smallest relative lift a test of each length could see with the traffic there is.
 
-    Sums are kept per first day, so one pass serves the totals and every window.
+    Users of each window are counted from the calendar of arrivals, a row per day.
     """
-    daily = ratio_sums(users, y, n, [*by, first_date])
-    start = F.min(first_date).over(Window.partitionBy(*(by or [F.lit(0)])))  # a row per day
-    dated = daily.withColumn("since", F.datediff(F.col(first_date), start))
-    totals = with_ratio_variance(
-        dated.groupBy(*by).agg(
-            *[F.sum(c).alias(c) for c in SUMS],
-            *[
-                F.coalesce(F.sum(F.when(F.col("since") < w, F.col("cnt"))), F.lit(0)).alias(f"within_{w}")
-                for w in windows
-            ],
-        )
-    )
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(w).alias("days"), F.col(f"within_{w}").alias("seen")) for w in windows])
-    )
-    return (
-        totals.withColumn("w", pairs)
-        .select(*by, "ratio", "unit_variance", "w.days", F.floor(F.col("w.seen") / 2).alias("users_per_arm"))
-        .withColumn(
-            "rel_mde", mean_mde(F.col("unit_variance"), F.col("ratio"), F.col("users_per_arm"), alpha, power)
-        )
-        .drop("unit_variance")
-    )
+    key = list(by) or ["_one"]
+    users = users if by else users.withColumn("_one", F.lit(1))
+    calendar = arrivals(users, first_date, key)
+    since = F.datediff("day", F.min("day").over(Window.partitionBy(*key)))
+    seen = [F.coalesce(F.sum(F.when(F.col("_since") < w, F.col("new_users"))), F.lit(0)) for w in windows]
+    pairs = F.array(*[F.struct(F.lit(w).alias("days"), c.alias("seen")) for w, c in zip(windows, seen, strict=True)])
+    counted = calendar.withColumn("_since", since).groupBy(*key).agg(pairs.alias("_windows"))
+    found = ratio_moments(users, y, n, key).join(counted, key).select("*", F.explode("_windows").alias("w"))
+    per_arm = F.floor(F.col("w.seen") / 2)
+    lift = mean_mde(F.col("unit_variance"), F.col("ratio"), per_arm, alpha, power)
+    return found.select(*by, "ratio", "w.days", per_arm.alias("users_per_arm"), lift.alias("rel_mde"))
 
 
 # ---- A/A replay ------------------------------------------------------------------
@@ -262,58 +251,90 @@ def _arm_bits(key: str, n_sims: int, seed: int) -> Column:
     return F.unhex(F.array_join(digest, ""))
 
 
-def aa_sums(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed: int) -> DataFrame:
-    """Per simulation: the six sums of each arm.
+def _checked(value: Column, name: str) -> Column:
+    """A NULL metric or key would turn every split into NULL or put all such users on one side."""
+    return F.when(value.isNull(), F.raise_error(F.lit(f"A/A replay: {name} is NULL"))).otherwise(value)
 
-    Users times simulations never become rows. Each task multiplies a bit matrix
-    (users by simulations) with its users' six terms and keeps n_sims rows of sums;
-    only those are shuffled.
-    """
-    rows = users.select(double(y).alias("y"), double(n).alias("n"), _arm_bits(key, n_sims, seed).alias("bits"))
-    names = [f"{c}_{arm}" for arm in ("a", "b") for c in SUMS]
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arm_b, everyone = np.zeros((n_sims, len(SUMS))), np.zeros(len(SUMS))
+#: What a split is judged by: for each user, deviations from the means of all users and their products.
+CONTRASTS = ("users", "y", "n", "yy", "nn", "yn")
+
+
+def deviations(users: DataFrame, y: str, n: str) -> DataFrame:
+    """``users`` with ``_parts``, the values of ``CONTRASTS``: centred, so that products keep their digits."""
+    top, bottom = _checked(double(y), y), _checked(double(n), n)
+    middle = users.agg(F.struct(F.avg(double(y)).alias("y"), F.avg(double(n)).alias("n"))).scalar()
+    centred = users.withColumn("_middle", middle)
+    dy, dn = top - F.col("_middle.y"), bottom - F.col("_middle.n")
+    return centred.withColumn("_parts", F.array(F.lit(1.0), dy, dn, dy * dy, dn * dn, dy * dn)).drop("_middle")
+
+
+def _multiply_signs(n_sims: int):
+    """Per task: for every split, the sum of signs times parts. A sign is +1 in arm B and -1 in arm A."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_sims, len(CONTRASTS)))
         for batch in batches:
-            for start in range(0, batch.num_rows, 2_048):
-                part = batch.slice(start, 2_048)
-                a = part.column("y").to_numpy(zero_copy_only=False)
-                b = part.column("n").to_numpy(zero_copy_only=False)
-                terms = np.column_stack([np.ones_like(a), a, b, a * a, b * b, a * b])
-                raw = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint8)
-                bits = np.unpackbits(raw.reshape(len(a), -1), axis=1)[:, :n_sims]
-                arm_b += bits.T.astype(np.float64) @ terms
-                everyone += terms.sum(axis=0)
-        if everyone[0]:
-            sums = np.hstack([everyone - arm_b, arm_b])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n_sims, dtype=np.int32)), *[pa.array(sums[:, i]) for i in range(sums.shape[1])]],
-                names=["sim", *names],
-            )
-
-    schema = "sim int, " + ", ".join(f"{c} double" for c in names)
-    partial = rows.mapInArrow(add_up, schema)
-    return partial.groupBy("sim").agg(*[F.sum(c).alias(c) for c in names])
-
-
-def aa_tests(sums: DataFrame) -> DataFrame:
-    """z of the delta-method and of the naive session test, per simulation."""
-    arms = {}
-    for arm in ("a", "b"):
-        terms = [F.col(f"{c}_{arm}") for c in SUMS]
-        r, spread = _residual(*terms)
-        cnt, sn = terms[0], terms[2]
-        # variance of R = spread / (cnt * mean(n)^2)
-        arms[arm] = (r, spread * cnt / F.nullif(sn * sn, F.lit(0.0)))
-    (ra, va), (rb, vb) = arms["a"], arms["b"]
-    ka, kb, na, nb = (F.col(c) for c in ("sy_a", "sy_b", "sn_a", "sn_b"))
-    pool = ratio(ka + kb, na + nb)
-    naive_se = F.sqrt(pool * (1.0 - pool) * (ratio(F.lit(1.0), na) + ratio(F.lit(1.0), nb)))
-    return sums.select(
-        "sim",
-        ((rb - ra) / F.nullif(F.sqrt(va + vb), F.lit(0.0))).alias("z_delta"),
-        ((ratio(kb, nb) - ratio(ka, na)) / F.nullif(naive_se, F.lit(0.0))).alias("z_naive"),
+            for start in range(0, batch.num_rows, 1_024):
+                chunk = batch.slice(start, 1_024)
+                parts = chunk.column("_parts").flatten().to_numpy().reshape(chunk.num_rows, -1)
+                bits = np.frombuffer(b"".join(chunk.column("_bits").to_pylist()), np.uint8).reshape(chunk.num_rows, -1)
+                signs = 2.0 * np.unpackbits(bits, axis=1, count=n_sims) - 1.0
+                total += signs.T @ parts
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_sims, dtype=np.int32)), *map(pa.array, total.T)], ["sim", *CONTRASTS])
+
+    return work
+
+
+def aa_contrasts(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed: int) -> DataFrame:
+    """Per split: arm B minus arm A, for each of ``CONTRASTS``, beside their totals (``t_``) and the means of all users.
+
+    Users times simulations never become rows. A task multiplies a sign matrix with its users' parts and keeps
+    n_sims rows; only those are shuffled. Totals are one ordinary aggregate.
+    """
+    known = users.withColumn(key, _checked(F.col(key), key))
+    parts = deviations(known, y, n)
+    signed = parts.select("_parts", _arm_bits(key, n_sims, seed).alias("_bits")).mapInArrow(
+        _multiply_signs(n_sims), "sim int, " + ", ".join(f"{c} double" for c in CONTRASTS)
+    )
+    summed = signed.groupBy("sim").agg(*[F.sum(c).alias(c) for c in CONTRASTS])
+    whole = parts.agg(
+        F.struct(
+            *[F.sum(F.col("_parts")[k]).alias(f"t_{c}") for k, c in enumerate(CONTRASTS)],
+            F.avg(double(y)).alias("mean_y"),
+            F.avg(double(n)).alias("mean_n"),
+        )
+    ).scalar()
+    told = summed.withColumn("_whole", whole).select("*", "_whole.*").drop("_whole")
+    return told.filter(F.col("t_users") > 0)
+
+
+def arm_summary(arm: str) -> dict[str, Column]:
+    """Ratio, its variance, and totals of one arm (``a`` or ``b``), from contrasts and totals."""
+    sign = 1.0 if arm == "b" else -1.0
+    users, dy, dn, yy, nn, yn = ((F.col(f"t_{c}") + F.col(c) * sign) / 2.0 for c in CONTRASTS)
+    blank = F.lit(0.0)
+    free = F.nullif(users - 1.0, blank)
+    mean_y, mean_n = F.col("mean_y") + dy / F.nullif(users, blank), F.col("mean_n") + dn / F.nullif(users, blank)
+    r = mean_y / F.nullif(mean_n, blank)
+    spread = linear_variance(
+        r, (yy - dy * dy / F.nullif(users, blank)) / free, (nn - dn * dn / F.nullif(users, blank)) / free, (yn - dy * dn / F.nullif(users, blank)) / free
     )
+    return {"ratio": r, "variance": spread / F.nullif(users * mean_n * mean_n, blank), "y": mean_y * users, "n": mean_n * users}
+
+
+def aa_tests(contrasts: DataFrame) -> DataFrame:
+    """z of the delta-method and of the naive session test, per split."""
+    a, b = arm_summary("a"), arm_summary("b")
+    gap = b["ratio"] - a["ratio"]
+    pool = (a["y"] + b["y"]) / F.nullif(a["n"] + b["n"], F.lit(0.0))
+    as_sessions = pool * (1.0 - pool) * (1.0 / F.nullif(a["n"], F.lit(0.0)) + 1.0 / F.nullif(b["n"], F.lit(0.0)))
+
+    def z(variance: Column) -> Column:
+        # Rounding can leave a variance of nothing a hair below zero.
+        return gap / F.nullif(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(0.0))
+
+    return contrasts.select("sim", z(a["variance"] + b["variance"]).alias("z_delta"), z(as_sessions).alias("z_naive"))
 
 
 def aa_replay(
@@ -327,7 +348,7 @@ def aa_replay(
 ) -> DataFrame:
     """Split all users at random ``n_sims`` times without a treatment; how often does each test cry wolf?"""
     limit = quantile(1 - alpha / 2)
-    tests = aa_tests(aa_sums(users, y, n, key, n_sims, seed))
+    tests = aa_tests(aa_contrasts(users, y, n, key, n_sims, seed))
     hits = tests.agg(
         F.count(F.lit(1)).alias("n_sims"),
         F.count_if(F.coalesce(F.abs("z_naive") > limit, F.lit(False))).alias("naive"),
@@ -417,12 +438,23 @@ def with_populations(users: DataFrame, segment: str, column: str = "device_categ
 
 
 def choose_population(moments: DataFrame, target: DataFrame, min_users: int) -> DataFrame:
-    """The segment if its gap is significant and it has enough users, else everyone."""
+    """The segment if its gap is significant and it has enough users, else everyone.
+
+    ``segment_users`` and ``reason`` say which of the two decided.
+    """
     wanted = target.agg(F.max(F.col("segment_only"))).scalar()
     allowed = (F.col("population") == EVERYONE) | (wanted & (F.col("cnt") >= min_users))
     rank = Window.partitionBy(F.lit(0)).orderBy((F.col("population") == EVERYONE).cast("int"))  # two rows
+    inside = F.coalesce(F.max(F.when(F.col("population") == SEGMENT_ONLY, F.col("cnt"))).over(Window.partitionBy(F.lit(0))), F.lit(0))
     return (
-        moments.filter(allowed)
+        moments.withColumn("segment_users", inside)
+        .withColumn(
+            "reason",
+            F.when(~F.coalesce(wanted, F.lit(False)), "no significant gap")
+            .when(F.col("segment_users") < min_users, "too few users in the segment")
+            .otherwise("the gap is significant"),
+        )
+        .filter(allowed)
         .withColumn("rank", F.row_number().over(rank))
         .filter(F.col("rank") == 1)
         .drop("rank")
@@ -447,7 +479,9 @@ def experiment_design(users: DataFrame, target: DataFrame, cfg) -> dict[str, Dat
         F.when(F.col("population") == EVERYONE, F.lit(EVERYONE)).otherwise(f"{segment} users").alias("population"),
         F.col("cnt").alias("window_users"),
         F.col("ratio").alias("baseline_rate"),
-        ratio("sn", "cnt").alias("sessions_per_user"),
+        ratio("n_total", "cnt").alias("sessions_per_user"),
+        "segment_users",
+        "reason",
     )
     power = power_table(chosen, cfg.mde_grid, cfg.alpha, cfg.power).withColumn(
         "needed", F.col("users_per_arm") * 2
