@@ -17,79 +17,66 @@ COLUMNS = ("user_pseudo_id", "ga_session_id", "event_name", "event_ts", "transac
 REVENUE_TOLERANCE = 0.01
 
 
-# Hours since 1970 from calendar fields; grows with time, which is all the join needs.
+# Hours since 1970 from calendar fields; grows with time, which is all the chain needs.
 HOUR = "datediff({0}, DATE'1970-01-01') * 24 + hour({0})"
 
 
-def first_after(events: DataFrame, previous: DataFrame) -> DataFrame:
-    """Per session: the first of ``events`` at or after the previous step's time ``t``.
+def first_step(rows: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """One row per session (k): the first step's first time ``t`` (NULL if none), how many steps it has
+    ``reached``, and the ``hours`` in which it has any later step."""
+    later = F.when(F.col("event_name").isin(*steps[1:]), F.expr(HOUR.format("event_ts")))
+    first = F.min(F.when(F.col("event_name") == steps[0], F.col("event_ts"))).alias("t")
+    sessions = rows.groupBy("k").agg(first, F.collect_set(later).alias("hours"))
+    return sessions.select("k", "t", F.col("t").isNotNull().cast("int").alias("reached"), "hours")
 
-    ``events`` has (k, event_ts); ``previous`` has one row per session (k, t, last) with
-    the session's last funnel time. A session's state is repeated for each hour from
-    ``t`` to ``last`` and matched on (session, hour), so a session with much of the table
-    is spread over its hours, while an ordinary one has an hour or two. Minima are
-    combined before the shuffle by session.
-    """
-    hours = previous.select(
-        "k", "t", "last", F.explode(F.expr(f"sequence({HOUR.format('t')}, {HOUR.format('last')})")).alias("hour")
-    )
-    return (
-        events.withColumn("hour", F.expr(HOUR.format("event_ts")))
-        .join(hours, ["k", "hour"])
-        .filter(F.col("event_ts") >= F.col("t"))
-        .groupBy("k")
-        .agg(F.min("event_ts").alias("t"), F.max("last").alias("last"))
-    )
 
+def next_step(events: DataFrame, chain: DataFrame) -> DataFrame:
+    """The chain one step on: ``t`` becomes the first of ``events`` (k, event_ts) at or after it, else NULL.
 
-def first_step(rows: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """Sessions with the first step: its first time, and the last time of any step."""
-    return (
-        rows.filter(F.col("event_name").isin(*steps))
-        .groupBy("k")
-        .agg(
-            F.min(F.when(F.col("event_name") == steps[0], F.col("event_ts"))).alias("t"),
-            F.max("event_ts").alias("last"),
-        )
-        .filter(F.col("t").isNotNull())
-    )
+    A session is matched on (session, hour), for those of its hours that have events and are not before ``t``: a session
+    with much of the table is spread over its hours, and a clock that is wrong by decades adds no rows. Minima
+    combine before the shuffle by session.
+    """
+    ahead = F.filter("hours", lambda h: h >= F.expr(HOUR.format("t")))
+    asked = chain.select("k", "t", "reached", "hours", F.explode_outer(ahead).alias("hour"))
+    found = asked.join(events.withColumn("hour", F.expr(HOUR.format("event_ts"))), ["k", "hour"], "left")
+    after = F.min(F.when(F.col("event_ts") >= F.col("t"), F.col("event_ts")))
+    by = found.groupBy("k").agg(after.alias("t"), F.max("reached").alias("_before"), F.max("hours").alias("hours"))
+    return by.select("k", "t", (F.col("_before") + F.col("t").isNotNull().cast("int")).alias("reached"), "hours")
 
 
 def recompute(events: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """(metric, value) rows: sessions, reached_<step>, purchases, revenue_usd."""
+    """(metric, value) rows: sessions, reached_<step>, purchases, revenue_usd.
+
+    One scan opens the chain, each further step is one scan and one join, and all counts are one aggregate at its end.
+    """
     rows = (
         events.select(*COLUMNS)
         .filter(F.col("user_pseudo_id").isNotNull() & F.col("ga_session_id").isNotNull())
         .withColumn("k", F.format_string("%s:%d", "user_pseudo_id", "ga_session_id"))
     )
-
-    def metric(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    out = metric(rows.select("k").distinct(), "sessions")
-    reached = first_step(rows, steps)
-    out = out.unionByName(metric(reached, f"reached_{steps[0]}"))
+    chain = first_step(rows, steps)
     for step in steps[1:]:
-        reached = first_after(rows.filter(F.col("event_name") == step).select("k", "event_ts"), reached)
-        out = out.unionByName(metric(reached, f"reached_{step}"))
+        chain = next_step(rows.filter(F.col("event_name") == step).select("k", "event_ts"), chain)
+    counts = chain.agg(
+        F.count(F.lit(1)).cast("double").alias("sessions"),
+        *[F.count_if(F.col("reached") > i).cast("double").alias(f"reached_{s}") for i, s in enumerate(steps)],
+    )
     orders = (
         rows.filter(F.col("event_name") == "purchase")
         .select("k", "transaction_id", "purchase_revenue_usd")
         .distinct()
         .agg(
             F.count(F.lit(1)).cast("double").alias("purchases"),
-            F.coalesce(F.sum(F.col("purchase_revenue_usd").cast(MONEY)), F.lit(0)).cast("double").alias("revenue_usd"),
+            F.round(F.coalesce(F.sum(F.col("purchase_revenue_usd").cast(MONEY)), F.lit(0)).cast("double"), 2).alias("revenue_usd"),
         )
     )
-    money = orders.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("purchases").alias("metric"), F.col("purchases").alias("value")),
-                F.struct(F.lit("revenue_usd").alias("metric"), F.round("revenue_usd", 2).alias("value")),
-            )
-        ).alias("m")
-    ).select("m.*")
-    return out.unionByName(money)
+    return _as_rows(counts).unionByName(_as_rows(orders))
+
+
+def _as_rows(one: DataFrame) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns]
+    return one.select(F.inline(F.array(*pairs)))
 
 
 def model_totals(segments: DataFrame, steps: Sequence[str]) -> DataFrame:
