@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from eventlens.operators import audit, checks, crosscheck
 from eventlens.plans.models import Models
 from eventlens.plans.results import export_frames, result_blocks
 from eventlens.sources import readers, sinks
+from eventlens.sources.ingest import require_source
 
 # Build order. Tables of one stage do not depend on each other and are written side by
 # side; the next stage starts from the files.
@@ -66,20 +68,34 @@ def require_crosscheck(m: Models) -> None:
         raise ChecksFailed(f"cross-check failed: {found}")
 
 
-def build(spark: SparkSession, raw: str, out: str, cfg: Config | None = None) -> Models:
-    """Raw Parquet under ``raw`` to models, results and exports under ``out``; stops at the first failure."""
+def build(spark: SparkSession, raw: str, out: str, cfg: Config | None = None, source: str | None = None) -> Models:
+    """Raw Parquet under ``raw`` to models, results and exports under ``out``; stops at the first failure.
+
+    A run writes to a folder of its own, ``out/runs/<id>``, and ``out/current`` names it only after audit, data tests and
+    cross-check have passed: a run that fails leaves the published one as it was. With ``source`` the manifest that
+    ``ingest`` wrote must name it.
+    """
     cfg = cfg or Config()
+    if source is not None:
+        require_source(spark, f"{raw}/manifest", source)
+    run = f"{out}/runs/{uuid4().hex}"
     events, items = readers.read_events(spark, raw), readers.read_items(spark, raw)
-    report = sinks.materialise(audit.audit(events, items, cfg), f"{out}/audit")
+    report = sinks.materialise(audit.audit(events, items, cfg), f"{run}/audit")
     audit.require_pass(report)  # nothing is built on rows that fail
-    m = materialise_models(Models(events, cfg), f"{out}/models")
+    m = materialise_models(Models(events, cfg), f"{run}/models")
     require_agreement(m)
-    blocks: dict[str, DataFrame] = {**result_blocks(m, items), "audit": report}
+    blocks: dict[str, DataFrame] = {**result_blocks(m, items, source), "audit": report}
     exports = export_frames(m)
     sinks.side_by_side(
         {
-            "results": lambda: sinks.write_results(blocks, f"{out}/results"),
-            "exports": lambda: sinks.write_exports(exports, f"{out}/exports"),
+            "results": lambda: sinks.write_results(blocks, f"{run}/results"),
+            "exports": lambda: sinks.write_exports(exports, f"{run}/exports"),
         }
     )
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").json(f"{out}/current")
     return m
+
+
+def published(spark: SparkSession, out: str) -> str:
+    """The folder of the last run that passed."""
+    return spark.read.schema("run string").json(f"{out}/current").first()["run"]

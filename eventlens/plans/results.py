@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlens.operators import analysis, audit, experiment
 from eventlens.plans.models import Models
 from eventlens.sources import sinks
 
 
-def result_blocks(m: Models, items: DataFrame) -> dict[str, DataFrame]:
+def result_blocks(m: Models, items: DataFrame, source: str | None = None) -> dict[str, DataFrame]:
     """Name to frame; each is small, and none is computed until it is written or shown."""
     cfg, seg = m.cfg, m.funnel_segments
     ordered = analysis.funnel_rates(seg, cfg.steps)
@@ -21,6 +22,7 @@ def result_blocks(m: Models, items: DataFrame) -> dict[str, DataFrame]:
     channels = analysis.channels(seg, cfg.steps[-1], cfg.small_sample)
     design = experiment.experiment_design(m.user_windows, target, cfg)
     return {
+        "source": m.events.sparkSession.range(1).select(F.lit(source).cast("string").alias("source")),
         "summary": audit.summary(m.events),
         "audit": audit.audit(m.events, items, cfg),
         "headline": analysis.headline(seg),
@@ -32,9 +34,11 @@ def result_blocks(m: Models, items: DataFrame) -> dict[str, DataFrame]:
         "areas": analysis.area_opportunity(m.area_funnel, cfg),
         "area_totals": analysis.area_totals(m.area_funnel, cfg),
         "metric_tree": tree,
+        "baseline_weeks": tree.filter("is_baseline").select("week_start"),
         "peak_week": peak,
         "channels": channels,
         "retention": m.cohort_retention,
+        "retention_matrix": analysis.retention_cells(m.cohort_retention),
         "retention_weighted": analysis.weighted_retention(m.cohort_retention, cfg.retention_offsets),
         "largest_gap": analysis.largest_gap(gap),
         "quietest_week": analysis.quietest_week(tree),

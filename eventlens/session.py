@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,8 +17,6 @@ SETTINGS = {
     # Re-running one day of an ingest must replace that day only.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Keep small sets and lists per group in memory; the default gives up after 128 groups.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # Recording a Python call site for every column costs more than planning the query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -31,10 +30,20 @@ def local_session(name: str = "eventlens", cpus: int | str = "*", **extra: str)
     return builder.getOrCreate()
 
 
+_own: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: the cluster's if it names one."""
+    """The folder for written intermediates, which driver and executors share: ``spark.checkpoint.dir`` names it.
+
+    A session in one process may go without; it gets a folder that goes when the process ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="eventlens-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return os.path.join(shared, "eventlens")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="eventlens-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        shared = _own[0]
+    return f"{shared.rstrip('/')}/eventlens"

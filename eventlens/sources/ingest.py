@@ -76,59 +76,71 @@ def absent_steps(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     return seen.select(F.explode(F.array_compact(rows)).alias("step"))
 
 
-def finished_days(events: DataFrame, items: DataFrame) -> DataFrame:
-    """Days present in both tables."""
-    return events.select("event_date").distinct().join(
-        items.select("event_date").distinct(), "event_date", "left_semi"
-    )
+def finished_days(spark: SparkSession, out: str, mark: str = "ingested_days") -> list[date]:
+    """Days that are marked as ingested: a list as long as the calendar. Only a missing table means none."""
+    try:
+        table = spark.read.parquet(f"{out}/{mark}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r["event_date"] for r in table.select("event_date").distinct().collect())
 
 
-def pending(nested: DataFrame, done: DataFrame) -> DataFrame:
-    """Nested rows of days not ingested yet. ``done`` has a row per day, so it is small by nature."""
-    return (
-        nested.withColumn("_day", event_day())
-        .join(done.select(F.col("event_date").alias("_day")), "_day", "left_anti")
-        .drop("_day")
-    )
+def pending_days(nested: DataFrame, done: Sequence[date], days: Sequence[date] | None = None) -> list[str]:
+    """Raw day keys (yyyymmdd) of ``nested`` that are not in ``done``, and among ``days`` if given.
 
+    Of a source that is partitioned by day this reads directory names only.
+    """
+    skip = {f"{d:%Y%m%d}" for d in done}
+    keys = {str(r["event_date"]) for r in nested.select("event_date").distinct().collect() if r["event_date"] is not None}
+    wanted = keys if days is None else keys & {f"{d:%Y%m%d}" for d in days}
+    return sorted(wanted - skip)
 
-def _written(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], columns)
+
+def rows_of_days(nested: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of these days, by literals on the raw column: a partitioned source opens these directories only."""
+    kind = nested.schema["event_date"].dataType
+    return nested.filter(F.col("event_date").isin(*[F.lit(k).cast(kind) for k in keys]))
 
 
 def ingest(
-    nested: DataFrame, out: str, days: Sequence[date] | None = None, mark: str = "ingested_days"
+    nested: DataFrame,
+    out: str,
+    days: Sequence[date] | None = None,
+    mark: str = "ingested_days",
+    source: str = "export",
+    limits: Mapping[str, float] = NULL_LIMITS,
 ) -> DataFrame:
-    """Flatten the days that are missing under ``out`` and write them by day.
+    """Flatten the days that are missing under ``out``, write them by day, and write the manifest. Returns these days.
 
-    Items are written before events and the list of finished days last, each by a
-    committed job with dynamic partition overwrite: a run cut short leaves a day
-    unmarked, and the next run replaces just that day. A day is finished only when
-    both tables were written, also if it has no items. Returns the days written now.
+    The days are listed once, before anything is read, and gate, both writes and the mark are about exactly
+    these; rows that the source gains meanwhile for other days wait for the next run. Events must pass the null gate before
+    a row is written. A run cut short leaves its days unmarked, and the next run replaces just those (dynamic partition
+    overwrite). A day is finished only when both tables are written, also if it has no items.
     """
     spark = nested.sparkSession
-    done = _written(spark, f"{out}/{mark}", "event_date date")
-    todo = pending(nested, done)
-    if days is not None:
-        todo = todo.filter(event_day().isin(*days))
-    for name, flat in (("items", flatten_items(todo)), ("events", flatten_events(todo))):
+    keys = pending_days(nested, finished_days(spark, out, mark), days)
+    listed = [date(int(k[:4]), int(k[4:6]), int(k[6:])) for k in keys]
+    new = spark.createDataFrame([(d,) for d in listed], "event_date date")
+    if not keys:
+        return new
+    todo = rows_of_days(nested, keys)
+    events, items = flatten_events(todo), flatten_items(todo)
+    require_populated(events, limits)
+    for name, flat in (("items", items), ("events", events)):
+        # Rebalancing needs no sample of the rows: it splits large days and joins small ones when sizes are known.
         (
-            flat.repartitionByRange("event_date", "event_ts")
+            flat.hint("rebalance", "event_date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("event_date")
             .parquet(f"{out}/{name}")
         )
-    new_days = todo.select(event_day().alias("event_date")).distinct()
-    written = [r["event_date"] for r in new_days.orderBy("event_date").collect()]  # calendar days
-    if written:
-        spark.createDataFrame([(d,) for d in written], "event_date date").coalesce(1).write.mode("append").parquet(
-            f"{out}/{mark}"
-        )
-    return spark.createDataFrame([(d,) for d in written], "event_date date")
+    new.coalesce(1).write.mode("append").parquet(f"{out}/{mark}")
+    stored = [spark.read.schema(flat.schema).parquet(f"{out}/{name}") for name, flat in (("events", events), ("items", items))]
+    write_manifest(*stored, source, f"{out}/manifest")
+    return new
 
 
 def manifest(events: DataFrame, items: DataFrame, source: str) -> DataFrame:

@@ -8,14 +8,16 @@ import pytest
 
 from eventlens.catalog import adapter
 from eventlens.operators.audit import AuditFailed
-from eventlens.plans.build import STAGES, build
+from eventlens.plans.build import STAGES, build, published
 
 
 def test_full_build_writes_models_results_and_exports(spark, adapted, tmp_path):
     out = str(tmp_path)
     days = adapted["events"].select("event_date").distinct().count()
     cfg = replace(adapter.CONFIG, window_end=adapter.CONFIG.window_start + timedelta(days=days - 1))
-    m = build(spark, adapted["root"], out, cfg)
+    base, m = out, build(spark, adapted["root"], out, cfg)
+    out = published(spark, base)
+    assert [str(p) for p in Path(base, "runs").iterdir()] == [out]
     assert {p.name for p in Path(out, "models").iterdir()} == {name for stage in STAGES for name in stage}
     everyone = m.funnel_segments.filter("segment_type = 'all'").first()
     assert everyone["sessions"] == m.sessions.count()
@@ -34,4 +36,13 @@ def test_a_failing_audit_stops_the_build(spark, adapted, tmp_path):
     longer = replace(adapter.CONFIG, window_end=date(2024, 3, 31))
     with pytest.raises(AuditFailed, match="missing_days"):
         build(spark, adapted["root"], str(tmp_path), longer)
-    assert not Path(tmp_path, "models").exists()
+    assert not Path(tmp_path, "current").exists() and not list(Path(tmp_path).glob("runs/*/models"))
+
+
+def test_another_source_is_refused(spark, adapted, tmp_path):
+    from eventlens.sources.ingest import WrongSource, write_manifest
+
+    write_manifest(adapted["events"], adapted["items"], "synthetic", f"{adapted['root']}/manifest")
+    with pytest.raises(WrongSource):
+        build(spark, adapted["root"], str(tmp_path), adapter.CONFIG, source="export")
+    assert not list(Path(tmp_path).iterdir())

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import pytest
 from helpers import events, hit
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from eventlens.catalog import adapter
@@ -139,6 +141,32 @@ def test_a_day_cut_short_is_replaced(spark, tmp_path):
     assert readers.read_events(spark, out).count() == want
 
 
+def test_ingest_reads_pending_days_only(spark, tmp_path):
+    out, src = str(tmp_path / "raw"), str(tmp_path / "nested")
+    adapter.nest(adapter.source(spark, SMALL)).write.partitionBy("event_date").parquet(src)
+    whole = spark.read.schema(adapter.nest(adapter.source(spark, SMALL)).schema).parquet(src)
+    ingest.ingest(whole, out, [date(2024, 1, 5)])
+    keys = ingest.pending_days(whole, ingest.finished_days(spark, out))
+    assert "20240105" not in keys and len(keys) > 10
+    plan = ingest.rows_of_days(whole, keys[:2])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^\]]*{keys[0]}", plan)
+    assert spark.read.json(f"{out}/manifest").first()["event_rows"] == readers.read_events(spark, out).count()
+
+
+def test_a_broken_table_of_days_is_not_taken_for_none(spark, tmp_path):
+    spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "ingested_days"))
+    with pytest.raises(AnalysisException):
+        ingest.finished_days(spark, str(tmp_path))
+    assert ingest.finished_days(spark, str(tmp_path / "none")) == []
+
+
+def test_nothing_is_written_behind_a_failed_gate(spark, tmp_path):
+    whole = adapter.nest(adapter.source(spark, SMALL)).withColumn("event_params", F.array().cast("array<struct<key:string,value:struct<string_value:string,int_value:bigint>>>"))
+    with pytest.raises(ingest.GateFailed, match="ga_session_id"):
+        ingest.ingest(whole, str(tmp_path / "raw"))
+    assert not (tmp_path / "raw").exists()
+
+
 def test_manifest_and_source_gate(spark, tmp_path, adapted):
     path = str(tmp_path / "manifest")
     ingest.write_manifest(adapted["events"], adapted["items"], "export", path)
