@@ -34,7 +34,6 @@ CONFIG = Config(
     coverage_min_sessions=5,
     bad_day_min_purchases=5,
     design_min_users=20,
-    aa_sims=200,
 )
 
 SITE = "https://shop.example.com"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 from functools import cached_property, reduce
 from uuid import uuid4
 
@@ -38,7 +38,7 @@ from eventlens.operators import (
     weekly,
 )
 from eventlens.plans.models import Models
-from eventlens.plans.results import export_frames
+from eventlens.plans.results import export_frames, result_blocks
 from eventlens.session import scratch_dir
 from eventlens.sources import ingest, nested, readers, sinks
 
@@ -232,19 +232,45 @@ add(
 )
 add(
     "s10_pending_days",
-    # The first run is taken to have stopped where the experiment window starts.
+    # What the second run takes, if the first stopped where the experiment window starts.
     lambda t: count_by(
-        ingest.pending(
-            t.nested,
-            ingest.finished_days(t.events, t.items).filter(F.col("event_date") < F.lit(CFG.experiment_start)),
-        ),
-        "event_date",
+        ingest.rows_of_days(t.nested, ingest.pending_days(t.nested, days_before_experiment(t))), "event_date"
     ),
     sql(
         f"""SELECT strftime(event_date, '%Y%m%d') AS event_date, {n('count(*)')} AS rows FROM ev
-            WHERE event_date >= DATE '{CFG.experiment_start}' OR event_date NOT IN (SELECT event_date FROM it) GROUP BY 1""",
+            WHERE event_date >= DATE '{CFG.experiment_start}' GROUP BY 1""",
+        "ev",
+    ),
+)
+
+
+def days_before_experiment(t: Tables) -> list[date]:
+    return [CFG.window_start + timedelta(days=k) for k in range((CFG.experiment_start - CFG.window_start).days)]
+
+
+def ingested(t: Tables) -> DataFrame:
+    """Two runs of the ingest into the shared folder; what both wrote, and what the manifest says of it."""
+    out = f"{scratch_dir(t.spark)}/ingest-{uuid4()}"
+    ingest.ingest(t.nested, out, days_before_experiment(t))
+    ingest.ingest(t.nested, out)
+    told = t.spark.read.json(f"{out}/manifest")
+    events, items = (count_by(t.spark.read.parquet(f"{out}/{name}"), "event_date") for name in ("events", "items"))
+    by_day = events.withColumnRenamed("rows", "events").join(items.withColumnRenamed("rows", "items"), "event_date", "left")
+    total = F.struct("days", "event_rows", "item_rows")
+    return by_day.select("*", told.select(total.alias("m")).scalar().alias("m")).select("event_date", "events", "items", "m.*")
+
+
+add(
+    "s10_ingested",
+    ingested,
+    sql(
+        f"""SELECT {day('event_date')} AS event_date, {n('e')} AS events, {n('i')} AS items, {n('count(*) OVER ()')} AS days,
+            {n('sum(e) OVER ()')} AS event_rows, {n('sum(i) OVER ()')} AS item_rows
+        FROM (SELECT event_date, count(*) AS e FROM ev GROUP BY 1) LEFT JOIN
+            (SELECT event_date, count(*) AS i FROM (SELECT event_date FROM it UNION ALL SELECT event_date FROM flat WHERE event_name = 'view_item') GROUP BY 1) USING (event_date)""",
         "ev",
         "it",
+        "flat",
     ),
 )
 add(
@@ -384,21 +410,6 @@ add(
 )
 
 
-def results_document(t: Tables) -> DataFrame:
-    """(block, row as JSON) of some blocks."""
-    blocks = {
-        "headline": analysis.headline(t.m.funnel_segments),
-        "funnel_ordered": t.everyone,
-        "channels": t.channels,
-    }
-    rows = [
-        df.select(F.lit(name).alias("block"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
-        for name, df in blocks.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
-
-
-add("s17_results_document", results_document)
 
 # ---- 2.2 projections, filters, predicates -----------------------------------------
 
@@ -511,7 +522,7 @@ add(
 def chained_step(t: Tables) -> DataFrame:
     rows = t.m.hits.select(F.col("session_key").alias("k"), "event_name", "event_ts")
     second = rows.filter(F.col("event_name") == STEPS[1]).select("k", "event_ts")
-    return crosscheck.first_after(second, crosscheck.first_step(rows, STEPS)).select("k", "t")
+    return crosscheck.next_step(second, crosscheck.first_step(rows, STEPS)).filter("t IS NOT NULL").select("k", "t")
 
 
 add(
@@ -693,9 +704,9 @@ SEG_SQL = (
 )
 add(
     "a8_multi_cut",
-    lambda t: t.m.funnel_segments.filter("segment_type <> 'all'").select("segment_type", "segment", "sessions", "users"),
+    lambda t: t.m.funnel_segments.select("segment_type", "segment", "sessions", "users"),
     sql(
-        f"SELECT segment_type, segment, {n('sessions')} AS sessions, {n('users')} AS users FROM seg WHERE segment_type <> 'all'",
+        f"SELECT segment_type, segment, {n('sessions')} AS sessions, {n('users')} AS users FROM seg",
         "seg",
     ),
 )
@@ -761,10 +772,10 @@ add("a15_weighted_rate", lambda t: analysis.weighted_retention(t.m.cohort_retent
 Y, N, FIRST = experiment.Y, experiment.N, experiment.FIRST
 add(
     "a16_ratio_sums",
-    lambda t: experiment.ratio_sums(t.m.user_windows, Y, N, ["device_category"]),
+    lambda t: experiment.ratio_spread(t.m.user_windows, Y, N, ["device_category"]),
     sql(
-        f"""SELECT device_category, {n('count(*)')} AS cnt, {r(f'sum({Y})')} AS sy, {r(f'sum({N})')} AS sn, {r(f'sum({Y} * {Y})')} AS syy,
-            {r(f'sum({N} * {N})')} AS snn, {r(f'sum({Y} * {N})')} AS syn FROM uw GROUP BY 1""",
+        f"""SELECT device_category, {n('count(*)')} AS cnt, {r(f'sum({Y})')} AS y_total, {r(f'sum({N})')} AS n_total,
+            {r(f'var_samp({Y})')} AS y_variance, {r(f'var_samp({N})')} AS n_variance, {r(f'covar_samp({Y}, {N})')} AS covariance FROM uw GROUP BY 1""",
         "uw",
     ),
 )
@@ -814,14 +825,17 @@ add(
         "wk",
     ),
 )
-OFFSETS = range(7)
-PIVOT_SQL = sql(
-    f"""SELECT {day('cohort_week')} AS cohort_week, {n('cohort_users')} AS cohort_users,
-        {', '.join(r(f'max(active_users::DOUBLE / cohort_users) FILTER (WHERE week_offset = {k})') + f' AS "{k}"' for k in OFFSETS)}
-    FROM coh GROUP BY 1, 2""",
-    "coh",
+add(
+    "o3_pivot",
+    lambda t: analysis.unpivoted_matrix(analysis.retention_matrix(t.m.cohort_retention)),
+    sql(
+        f"""SELECT {day('c.cohort_week')} AS cohort_week, {n('c.cohort_users')} AS cohort_users, {n('k.week_offset')} AS week_offset,
+            {r('coh.active_users::DOUBLE / coh.cohort_users')} AS retention
+        FROM (SELECT DISTINCT cohort_week, cohort_users FROM coh) c CROSS JOIN (SELECT DISTINCT week_offset FROM coh) k
+        LEFT JOIN coh ON coh.cohort_week = c.cohort_week AND coh.week_offset = k.week_offset""",
+        "coh",
+    ),
 )
-add("o3_pivot", lambda t: analysis.retention_matrix(t.m.cohort_retention, list(OFFSETS)), PIVOT_SQL)
 add("o4_dense_calendar", lambda t: experiment.enrolment_curve(t.m.user_windows, FIRST), CURVE_SQL)
 add(
     "u1_union_all",
@@ -1121,12 +1135,80 @@ add(
 
 # ---- 2.9 data tests and cross-check -------------------------------------------------------
 
+@dataclass
+class Broken:
+    """The models with mistakes in all of them, made from all their rows, so that every data test has something to find."""
+
+    t: Tables
+
+    @property
+    def sessions(self) -> DataFrame:
+        """Open flags in place of ordered ones, a session in seven twice, no user on a session in eleven, one channel renamed."""
+        number = F.col("ga_session")
+        ses = self.t.m.sessions.withColumn("ga_session", F.regexp_extract("session_key", ":(.*)$", 1).cast("bigint") + F.col("page_views"))
+        ses = ses.withColumns({f"reached_{s}": F.col(f"any_{s}") for s in STEPS})
+        ses = ses.withColumn("channel", F.when(F.col("channel") == "Email", "Post").otherwise(F.col("channel")))
+        ses = ses.withColumn("user_pseudo_id", F.when(number % 11 != 0, F.col("user_pseudo_id")))
+        return ses.unionByName(ses.filter(number % 7 == 0)).drop("ga_session")
+
+    @property
+    def weekly(self) -> DataFrame:
+        """Each week with a hundredth more revenue than its factors make, and every second one twice."""
+        wk = self.t.m.weekly_metrics.withColumn("revenue_usd", F.col("revenue_usd") * F.lit(1.01).cast("decimal(3,2)"))
+        return wk.unionByName(wk.filter(F.datediff("week_start", F.lit(CFG.window_start)) % 14 == 0))
+
+    @property
+    def cohorts(self) -> DataFrame:
+        """Retention of purchasing users in place of active ones and the other way round."""
+        return self.t.m.cohort_retention.withColumns({"retention": F.col("purchase_retention"), "purchase_retention": F.col("retention")})
+
+    @property
+    def areas(self) -> DataFrame:
+        """Sections of which nothing but the first letter is left, and none for those on B."""
+        first = F.substring("entry_area", 1, 1)
+        return self.t.m.area_funnel.withColumn("entry_area", F.when(first != "B", first))
+
+    @property
+    def users(self) -> DataFrame:
+        """Users by the last digit of their id, and none for 7."""
+        last = F.substring("user_pseudo_id", -1, 1)
+        return self.t.m.user_windows.withColumn("user_pseudo_id", F.when(last != "7", last))
+
+
+BROKEN = {
+    "bses": (
+        f"SELECT * REPLACE ({', '.join(f'any_{s} AS reached_{s}' for s in STEPS)}, CASE channel WHEN 'Email' THEN 'Post' ELSE channel END AS channel,"
+        " CASE WHEN mark % 11 <> 0 THEN user_pseudo_id END AS user_pseudo_id) FROM"
+        " (SELECT *, split_part(session_key, ':', 2)::BIGINT + page_views AS mark FROM ses) s, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR mark % 7 = 0"
+    ),
+    "bwk": (
+        f"SELECT * REPLACE (revenue_usd * 1.01 AS revenue_usd) FROM wk, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR (week_start - DATE '{CFG.window_start}') % 14 = 0"
+    ),
+    "bareas": "SELECT CASE WHEN entry_area[1] <> 'B' THEN entry_area[1] END AS entry_area FROM area",
+    "busers": "SELECT CASE WHEN right(user_pseudo_id, 1) <> '7' THEN right(user_pseudo_id, 1) END AS user_pseudo_id FROM uw",
+}
+
+
+def broken_sql(body: str, *needs: str) -> str:
+    """``sql`` with the mistaken models as expressions of their own."""
+    return sql(body, *needs).replace("\n" + body, "".join(f",\n{k} AS ({v})" for k, v in BROKEN.items()) + "\n" + body)
+
+
+MODELS = ("ses", "wk", "coh", "area", "uw")
+IDENTITY = "transactions > 0 AND abs(users * sessions_per_user * conversion * aov / greatest(revenue_usd, 1) - revenue_usd / greatest(revenue_usd, 1)) > 1e-6"
+UNORDERED = " OR ".join(f"reached_{b} > reached_{a}" for a, b in zip(STEPS, STEPS[1:]))
+# Buying for active and active for buying: week 0 not everyone, a rate above one, more buyers than active.
+OUT = "(week_offset = 0 AND purchasing_users <> cohort_users) OR purchasing_users > cohort_users OR active_users > purchasing_users"
+ACCEPTED = ", ".join(f"'{c}'" for c in fe.CHANNELS)
 add(
     "t1_unique_keys",
-    lambda t: checks.duplicate_keys(t.m.sessions, "session_key").select("session_key").unionByName(
-        checks.null_keys(t.m.sessions, "session_key", "user_pseudo_id").select("session_key")
-    ),
-    sql("SELECT session_key FROM ses GROUP BY 1 HAVING count(*) > 1 OR session_key IS NULL", "ses"),
+    lambda t: checks.duplicate_keys(Broken(t).sessions, "session_key"),
+    broken_sql(f"SELECT session_key, {n('count(*)')} AS rows FROM bses GROUP BY 1 HAVING count(*) > 1", *MODELS),
+)
+add(
+    "t1_not_null",
+    lambda t: checks.null_keys(Broken(t).sessions, "session_key", "user_pseudo_id").select("session_key"),
+    broken_sql("SELECT session_key FROM bses WHERE session_key IS NULL OR user_pseudo_id IS NULL", *MODELS),
 )
 add(
     "t1_repeated_users",
@@ -1141,55 +1223,67 @@ add(
 )
 add(
     "t3_ordered_funnel",
-    lambda t: checks.unordered_funnels(t.m.sessions, STEPS),
-    sql(
-        "SELECT session_key FROM ses WHERE NOT (reached_view_item >= reached_begin_checkout AND reached_begin_checkout >= reached_add_payment_info AND reached_add_payment_info >= reached_purchase)",
-        "ses",
-    ),
+    lambda t: checks.unordered_funnels(Broken(t).sessions, STEPS),
+    broken_sql(f"SELECT session_key FROM bses WHERE {UNORDERED}", *MODELS),
 )
 add(
     "t4_revenue_identity",
-    lambda t: checks.broken_revenue_identity(t.m.weekly_metrics),
-    sql(
-        f"SELECT {day('week_start')} AS week_start FROM wk WHERE transactions > 0 AND abs(users * sessions_per_user * conversion * aov / greatest(revenue_usd, 1) - revenue_usd / greatest(revenue_usd, 1)) > 1e-6",
-        "wk",
-    ),
+    lambda t: checks.broken_revenue_identity(Broken(t).weekly),
+    broken_sql(f"SELECT {day('week_start')} AS week_start FROM bwk WHERE {IDENTITY}", *MODELS),
 )
 add(
     "t5_cohort_bounds",
-    lambda t: checks.cohorts_out_of_bounds(t.m.cohort_retention),
+    lambda t: checks.cohorts_out_of_bounds(Broken(t).cohorts),
     sql(
-        f"""SELECT {day('cohort_week')} AS cohort_week, week_offset, {r('active_users::DOUBLE / cohort_users')} AS retention FROM coh
-            WHERE (week_offset = 0 AND active_users <> cohort_users) OR active_users > cohort_users OR purchasing_users > active_users""",
+        f"""SELECT {day('cohort_week')} AS cohort_week, week_offset, {r('purchasing_users::DOUBLE / cohort_users')} AS retention FROM coh WHERE {OUT}""",
         "coh",
     ),
 )
+
+
+def all_tests_sql(ses: str, wk: str, areas: str, users: str, out: str) -> str:
+    """The twelve counts, each from its own statement."""
+    repeated = "SELECT {1} FROM {0} WHERE {1} IS NOT NULL GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT {1} FROM {0} WHERE {1} IS NULL GROUP BY 1 HAVING count(*) > 1"
+    counted = {
+        "sessions_key_unique": repeated.format(ses, "session_key"),
+        "sessions_not_null": f"SELECT 1 FROM {ses} WHERE session_key IS NULL OR user_pseudo_id IS NULL",
+        "sessions_channel_accepted": f"SELECT 1 FROM {ses} WHERE channel NOT IN ({ACCEPTED})",
+        "weekly_key_unique": repeated.format(wk, "week_start"),
+        "weekly_not_null": f"SELECT 1 FROM {wk} WHERE week_start IS NULL",
+        "areas_key_unique": repeated.format(areas, "entry_area"),
+        "areas_not_null": f"SELECT 1 FROM {areas} WHERE entry_area IS NULL",
+        "users_key_unique": repeated.format(users, "user_pseudo_id"),
+        "users_not_null": f"SELECT 1 FROM {users} WHERE user_pseudo_id IS NULL",
+        "funnel_is_ordered": f"SELECT 1 FROM {ses} WHERE {UNORDERED}",
+        "revenue_identity": f"SELECT 1 FROM {wk} WHERE {IDENTITY}",
+        "cohort_bounds": f"SELECT 1 FROM coh WHERE {out}",
+    }
+    return " UNION ALL ".join(f"""SELECT '{name}' AS "check", {n('count(*)')} AS failures FROM ({body})""" for name, body in counted.items())
+
+
+IN_ORDER = "(week_offset = 0 AND active_users <> cohort_users) OR active_users > cohort_users OR purchasing_users > active_users"
 add(
     "t_all_tests",
     lambda t: checks.run_all(
         t.m.sessions, t.m.weekly_metrics, t.m.cohort_retention, t.m.area_funnel, t.m.user_windows, STEPS
     ),
-    sql(
-        f"""SELECT unnest(['sessions_key_unique', 'sessions_not_null', 'sessions_channel_accepted', 'weekly_key_unique', 'weekly_not_null',
-            'areas_key_unique', 'areas_not_null', 'users_key_unique', 'users_not_null', 'funnel_is_ordered', 'revenue_identity', 'cohort_bounds']) AS "check",
-            (SELECT {n('count(*) - count(DISTINCT session_key)')} FROM ses) AS failures""",
-        "ses",
-    ),
+    sql(all_tests_sql("ses", "wk", "area", "uw", IN_ORDER), *MODELS),
+)
+add(
+    "t_all_tests_on_mistakes",
+    lambda t: checks.run_all(Broken(t).sessions, Broken(t).weekly, Broken(t).cohorts, Broken(t).areas, Broken(t).users, STEPS),
+    broken_sql(all_tests_sql("bses", "bwk", "bareas", "busers", OUT), *MODELS),
 )
 METRICS = ["sessions", *[f"reached_{s}" for s in STEPS], "purchases", "revenue_usd"]
-V1_SQL = sql(
-    " UNION ALL ".join(
-        [
-            f"SELECT 'sessions' AS metric, {r('count(DISTINCT session_key)')} AS value FROM hits",
-            *[f"SELECT 'reached_{s}', {r(f'sum(reached_{s})')} FROM fun" for s in STEPS],
-            f"SELECT 'purchases', {r('count(*)')} FROM pur",
-            f"SELECT 'revenue_usd', {r('sum(purchase_revenue_usd)', 2)} FROM pur",
-        ]
-    ),
-    "hits",
-    "fun",
-    "pur",
+V1_BODY = " UNION ALL ".join(
+    [
+        f"SELECT 'sessions' AS metric, {r('count(DISTINCT session_key)')} AS value FROM hits",
+        *[f"SELECT 'reached_{s}', {r(f'sum(reached_{s})')} FROM fun" for s in STEPS],
+        f"SELECT 'purchases', {r('count(*)')} FROM pur",
+        f"SELECT 'revenue_usd', {r('sum(purchase_revenue_usd)', 2)} FROM pur",
+    ]
 )
+V1_SQL = sql(V1_BODY, "hits", "fun", "pur")
 add("v1_recompute", lambda t: crosscheck.recompute(t.events, STEPS), V1_SQL)
 add(
     "v2_differences",
@@ -1214,10 +1308,16 @@ add(
 )
 add(
     "v2_agreement",
-    lambda t: crosscheck.differences(
-        crosscheck.recompute(t.events, STEPS), crosscheck.model_totals(t.m.funnel_segments, STEPS)
-    ),
-    "SELECT event_type AS metric, 0.0::DOUBLE AS independent, 0.0::DOUBLE AS models FROM events WHERE event_type IS NULL AND event_type IS NOT NULL",
+    # Metric by metric, both sides and whether they agree: the comparison itself keeps only those that do not.
+    lambda t: crosscheck.recompute(t.events, STEPS)
+    .join(crosscheck.model_totals(t.m.funnel_segments, STEPS).withColumnRenamed("value", "models"), "metric")
+    .join(
+        crosscheck.differences(crosscheck.recompute(t.events, STEPS), crosscheck.model_totals(t.m.funnel_segments, STEPS)).select("metric", F.lit(1).alias("odd")),
+        "metric",
+        "left",
+    )
+    .select("metric", "value", "models", F.col("odd").isNull().alias("agrees")),
+    sql(f"SELECT metric, value, value AS models, true AS agrees FROM ({V1_BODY})", "hits", "fun", "pur"),
 )
 
 # ---- 2.10 analysis --------------------------------------------------------------------------
@@ -1320,7 +1420,15 @@ add(
         "chan",
     ),
 )
-add("x9_retention_matrix", lambda t: analysis.retention_matrix(t.m.cohort_retention, list(OFFSETS)), PIVOT_SQL)
+add(
+    "x9_retention_matrix",
+    lambda t: analysis.retention_cells(t.m.cohort_retention),
+    sql(
+        f"""SELECT {day('cohort_week')} AS cohort_week, {n('cohort_users')} AS cohort_users, {n('week_offset')} AS week_offset,
+            {r('active_users::DOUBLE / cohort_users')} AS retention FROM coh""",
+        "coh",
+    ),
+)
 add("x9_retention_weighted", lambda t: analysis.weighted_retention(t.m.cohort_retention, CFG.retention_offsets), WEIGHTED_SQL)
 add("x10_largest_gap", lambda t: analysis.largest_gap(t.gap), sql(f"SELECT {r('max(abs(gap))')} AS max_gap FROM gap", "gap"))
 add(
@@ -1351,6 +1459,7 @@ add(
     lambda t: analysis.channel_facts(t.channels),
     sql(
         f"""SELECT b.channel AS best_channel, {r('b.conversion')} AS best_conversion, w.channel AS worst_channel, {r('w.conversion')} AS worst_conversion,
+            coalesce(w.conversion < (SELECT conversion FROM chan WHERE {NAMED} AND channel = 'Direct'), false) AS worst_below_direct,
             coalesce((SELECT string_agg(channel, ', ' ORDER BY channel) FROM chan WHERE small_sample AND conversion > b.conversion), '') AS small_but_better
         FROM (SELECT * FROM chan WHERE {NAMED} ORDER BY conversion DESC, sessions, channel DESC LIMIT 1) b,
              (SELECT * FROM chan WHERE {NAMED} ORDER BY conversion, sessions, channel LIMIT 1) w
@@ -1382,7 +1491,7 @@ add(
 add(
     "e2_two_proportions",
     lambda t: stats.with_two_prop_z(
-        t.m.area_funnel.select("entry_area", "sessions", "checkouts", "purchase_sessions").filter("checkouts > 0"),
+        t.m.area_funnel.select("entry_area", "sessions", "checkouts", "purchase_sessions"),
         "purchase_sessions",
         "checkouts",
         "checkouts",
@@ -1391,9 +1500,10 @@ add(
     sql(
         f"""SELECT entry_area, {n('sessions')} AS sessions, {n('checkouts')} AS checkouts, {n('purchase_sessions')} AS purchase_sessions,
             {r('p2 - p1')} AS difference, {r('z')} AS z, {r(o.two_sided_p('z'))} AS p_value
-        FROM (SELECT *, coalesce((p2 - p1) / nullif(sqrt(pool * (1 - pool) * (1.0::DOUBLE / checkouts + 1.0::DOUBLE / sessions)), 0), 0) AS z
-              FROM (SELECT *, purchase_sessions::DOUBLE / checkouts AS p1, checkouts::DOUBLE / sessions AS p2,
-                           (purchase_sessions + checkouts)::DOUBLE / (checkouts + sessions) AS pool FROM area WHERE checkouts > 0))""",
+        FROM (SELECT *, CASE WHEN se = 0 THEN 0 ELSE (p2 - p1) / nullif(se, 0) END AS z
+              FROM (SELECT *, sqrt(pool * (1 - pool) * (1.0::DOUBLE / nullif(checkouts, 0) + 1.0::DOUBLE / nullif(sessions, 0))) AS se
+                    FROM (SELECT *, purchase_sessions::DOUBLE / nullif(checkouts, 0) AS p1, checkouts::DOUBLE / nullif(sessions, 0) AS p2,
+                                 (purchase_sessions + checkouts)::DOUBLE / nullif(checkouts + sessions, 0) AS pool FROM area)))""",
         "area",
     ),
 )
@@ -1444,16 +1554,16 @@ GRID = f"(SELECT unnest([{', '.join(f'{m}::DOUBLE' for m in CFG.mde_grid)}]) AS
 def segment_rates(t: Tables) -> DataFrame:
     return t.m.funnel_segments.select(
         "segment_type", "segment", "sessions", stats.ratio("reached_purchase", "sessions").alias("p")
-    ).filter("p > 0")
+    )
 
 
-P_SQL = "SELECT segment_type, segment, sessions, reached_purchase::DOUBLE / sessions AS p FROM seg WHERE reached_purchase > 0"
+P_SQL = "SELECT segment_type, segment, sessions, reached_purchase::DOUBLE / sessions AS p FROM seg"
 add(
     "e6_power_proportion",
     lambda t: experiment.proportion_power(segment_rates(t), "p", CFG.mde_grid, CFG.alpha, CFG.power),
     sql(
         f"""SELECT segment_type, segment, {n('sessions')} AS sessions, {r('p')} AS p, {r('m')} AS rel_mde,
-            {n(f"ceil({o.proportion_units('p', 'm')})")} AS units_per_arm FROM ({P_SQL}) CROSS JOIN {GRID}""",
+            CASE WHEN p > 0 THEN {n(f"ceil({o.proportion_units('p', 'm')})")} END AS units_per_arm FROM ({P_SQL}) CROSS JOIN {GRID}""",
         "seg",
     ),
 )
@@ -1467,8 +1577,8 @@ add(
         f"""SELECT segment_type, segment, {n('sessions')} AS sessions, CASE WHEN solvable THEN {r('(lo + hi) / 2')} END AS rel_mde,
             CASE WHEN solvable THEN {r('sessions')} END AS units_at_mde
         FROM (WITH RECURSIVE halving AS (
-                SELECT *, 1e-6::DOUBLE AS lo, least(50.0, (1 - 1e-9::DOUBLE) / p - 1) AS hi, 0 AS i,
-                       {o.proportion_units('p', 'least(50.0, (1 - 1e-9::DOUBLE) / p - 1)')} <= sessions
+                SELECT *, 1e-6::DOUBLE AS lo, least(50.0, (1 - 1e-9::DOUBLE) / nullif(p, 0) - 1) AS hi, 0 AS i,
+                       p > 0 AND {o.proportion_units('p', 'least(50.0, (1 - 1e-9::DOUBLE) / nullif(p, 0) - 1)')} <= sessions
                          AND {o.proportion_units('p', '1e-6::DOUBLE')} >= sessions AS solvable FROM ({P_SQL})
                 UNION ALL
                 SELECT segment_type, segment, sessions, p,
@@ -1522,7 +1632,7 @@ add(
 add(
     "e9_aa_tests",
     lambda t: experiment.aa_tests(
-        experiment.aa_sums(t.m.user_windows, Y, N, "user_pseudo_id", CFG.aa_sims, CFG.aa_seed)
+        experiment.aa_contrasts(t.m.user_windows, Y, N, "user_pseudo_id", CFG.aa_sims, CFG.aa_seed)
     ),
     sql(f"SELECT {n('sim')} AS sim, {r('z_delta')} AS z_delta, {r('z_naive')} AS z_naive FROM aa", "aa"),
 )
@@ -1597,7 +1707,10 @@ add(
         f"""SELECT (SELECT step FROM (SELECT 0 AS rank, step, extra_purchases * order_value AS weight, step_order FROM gap WHERE z > {o.ZA} AND gap > 0
                 UNION ALL SELECT 1, step, 0, step_order FROM ({LEAK})) ORDER BY rank, weight DESC, step_order LIMIT 1) AS target_step,
             population = 'segment users' AS segment_only, CASE population WHEN 'all users' THEN population ELSE 'mobile users' END AS population,
-            {n('cnt')} AS window_users, {r('ratio')} AS baseline_rate, {r('mean_n')} AS sessions_per_user
+            {n('cnt')} AS window_users, {r('ratio')} AS baseline_rate, {r('mean_n')} AS sessions_per_user,
+            (SELECT {n('count(*)')} FROM pops WHERE population = 'segment users') AS segment_users,
+            CASE WHEN NOT {TARGET_ONLY} THEN 'no significant gap' WHEN (SELECT count(*) FROM pops WHERE population = 'segment users') < {CFG.design_min_users}
+                THEN 'too few users in the segment' ELSE 'the gap is significant' END AS reason
         FROM moments WHERE population = ({CHOSEN})""",
         "moments",
         "gap",
@@ -1618,6 +1731,80 @@ add(
 )
 
 
+# ---- the results document, of all the above --------------------------------------------------------
+
+#: Block of the document to the query that states it in SQL; the query's columns are compared.
+BLOCKS = {
+    "summary": "q0_summary",
+    "audit": "q_audit_report",
+    "headline": "x1_headline",
+    "leak": "x4_biggest_leak",
+    "target": "x5_target_step",
+    "funnel_ordered": "x2_funnel_rates_ordered",
+    "funnel_open": "x2_funnel_rates_open",
+    "opportunity": "x3_segment_gap",
+    "areas": "x6_area_opportunity",
+    "area_totals": "x6_area_totals",
+    "metric_tree": "x7_metric_tree",
+    "peak_week": "x7_peak_week",
+    "channels": "x8_channels",
+    "retention": "m6_cohort_retention",
+    "retention_matrix": "x9_retention_matrix",
+    "retention_weighted": "x9_retention_weighted",
+    "largest_gap": "x10_largest_gap",
+    "quietest_week": "x10_quietest_week",
+    "growth_drivers": "x10_growth_drivers",
+    "channel_facts": "x10_channel_facts",
+    "observed_cohorts": "x10_observed_cohorts",
+    "experiment_design": "e13_design",
+    "experiment_power": "e13_power",
+    "experiment_aa": "e9_aa_replay",
+    "experiment_cuped": "e10_cuped",
+}
+
+
+def results_document(t: Tables) -> DataFrame:
+    """Every block as (block, row, key, number, text): a row is named by its texts, values are numbers or texts."""
+    frames = result_blocks(t.m, t.items, source="export")
+    out = []
+    for block, key in BLOCKS.items():
+        columns = CATALOG[key].frame(t).columns
+        df = comparable(frames[block].select(*[F.col(f"`{c}`") for c in columns]))
+        texts = sorted(f.name for f in df.schema if isinstance(f.dataType, T.StringType))
+        name = F.concat_ws("|", *[F.col(f"`{c}`") for c in texts]) if texts else F.lit("")
+        cells = []
+        for f in sorted(df.schema, key=lambda f: f.name):
+            c = F.col(f"`{f.name}`")
+            text = isinstance(f.dataType, T.StringType)
+            number = F.lit(None).cast("double") if text else c.cast("int").cast("double") if isinstance(f.dataType, T.BooleanType) else F.nanvl(c.cast("double"), F.lit(None))
+            cells.append(F.struct(F.lit(f.name).alias("key"), number.alias("number"), (c if text else F.lit(None).cast("string")).alias("text")))
+        out.append(df.select(F.lit(block).alias("block"), name.alias("row"), F.inline(F.array(*cells))))
+    plain = [(frames["source"], ["source"]), (frames["baseline_weeks"], ["week_start"])]
+    for block, (df, (column,)) in zip(("source", "baseline_weeks"), plain, strict=True):
+        text = F.col(column).cast("string")
+        out.append(df.select(F.lit(block).alias("block"), text.alias("row"), F.lit(column).alias("key"), F.lit(None).cast("double").alias("number"), text.alias("text")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _cells(block: str, body: str) -> str:
+    """Rows of a statement as cells, whatever its columns are, by way of JSON."""
+    return f"""SELECT '{block}' AS block,
+        coalesce(array_to_string(list_transform(list_sort(list_filter(map_entries(from_json(j, '"MAP(VARCHAR, JSON)"')), lambda e: json_type(e.value) = 'VARCHAR' AND (e.value ->> '$') <> 'nan')), lambda e: e.value ->> '$'), '|'), '') AS "row",
+        c.key, CASE json_type(c.value) WHEN 'BOOLEAN' THEN (c.value::BOOLEAN)::INT::DOUBLE WHEN 'VARCHAR' THEN NULL ELSE try_cast(c.value AS DOUBLE) END AS number,
+        CASE WHEN json_type(c.value) = 'VARCHAR' THEN nullif(c.value ->> '$', 'nan') END AS text
+        FROM (SELECT to_json(q) AS j FROM ({body}) q), LATERAL (SELECT unnest(map_entries(from_json(j, '"MAP(VARCHAR, JSON)"')), recursive := true)) c"""
+
+
+def results_sql() -> str:
+    parts = [_cells(block, CATALOG[key].oracle) for block, key in BLOCKS.items()]
+    weeks = sql(f"SELECT {day('week_start')} AS week_start FROM tree WHERE is_baseline", "tree")
+    parts += [f"SELECT 'source', 'export', 'source', NULL::DOUBLE, 'export'", f"SELECT 'baseline_weeks', week_start, 'week_start', NULL::DOUBLE, week_start FROM ({weeks})"]
+    return "\nUNION ALL\n".join(parts)
+
+
+add("s17_results_document", results_document, results_sql())
+
+
 def queries() -> dict[str, Query]:
     return dict(CATALOG)
 

@@ -82,18 +82,18 @@ def with_wilson(df: DataFrame, k: str, n: str, low: str = "ci_low", high: str =
 
 
 def pooled_z(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
-    """z of p2 - p1 with pooled variance; zero where the standard error is."""
-    pool = (double(k1) + double(k2)) / (double(n1) + double(n2))
-    se = F.sqrt(pool * (1.0 - pool) * (1.0 / double(n1) + 1.0 / double(n2)))
-    return F.coalesce((double(k2) / double(n2) - double(k1) / double(n1)) / F.nullif(se, F.lit(0.0)), F.lit(0.0))
+    """z of p2 - p1 with pooled variance; zero where the standard error is, NULL where a side has no units."""
+    pool = ratio(double(k1) + double(k2), double(n1) + double(n2))
+    se = F.sqrt(pool * (1.0 - pool) * (ratio(F.lit(1.0), n1) + ratio(F.lit(1.0), n2)))
+    difference = ratio(k2, n2) - ratio(k1, n1)
+    return F.when(se == 0.0, F.lit(0.0)).otherwise(difference / F.nullif(se, F.lit(0.0)))
 
 
 def with_two_prop_z(df: DataFrame, k1: str, n1: str, k2: str, n2: str) -> DataFrame:
-    """Add ``difference`` (second minus first), ``z`` and two-sided ``p_value``."""
-    z = pooled_z(*(F.col(c) for c in (k1, n1, k2, n2)))
+    """Add ``difference`` (second minus first), ``z`` and two-sided ``p_value``; NULL where a side has no units."""
     return (
-        df.withColumn("difference", double(k2) / double(n2) - double(k1) / double(n1))
-        .withColumn("z", z)
+        df.withColumn("difference", ratio(k2, n2) - ratio(k1, n1))
+        .withColumn("z", pooled_z(*(F.col(c) for c in (k1, n1, k2, n2))))
         .withColumn("p_value", two_sided_p(F.col("z")))
     )
 

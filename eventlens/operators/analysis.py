@@ -102,7 +102,7 @@ def segment_gap(
     """What it would be worth if segment ``a`` kept sessions at each step as ``b`` does.
 
     An upper bound: part of a gap is intent. Steps without a base, or that ``a``
-    never reaches, are left out.
+    never reaches, are left out. A segment that does not exist fails the job: silence would read as "no gap".
     """
     last = f"reached_{steps[-1]}"
     pair = segments.filter((F.col("segment_type") == segment_type) & F.col("segment").isin(a, b))
@@ -129,7 +129,11 @@ def segment_gap(
     ).withColumn("gap", F.col("rate_b") - F.col("rate_a"))
     extra = double("n_a") * F.greatest(F.col("gap"), F.lit(0.0)) * ratio("bought_a", "k_a")
     value = F.coalesce(ratio("revenue_a", "orders_a"), F.lit(0.0))
-    return rates.select(
+    known = pair.agg(*[F.count_if(F.col("segment") == name).alias(side) for side, name in (("a", a), ("b", b))])
+    missing = known.filter("a = 0 OR b = 0").select(
+        F.raise_error(F.lit(f"{segment_type} has no segment {a!r} or no segment {b!r}")).cast("int").alias("step_order")
+    )
+    found = rates.select(
         "step_order",
         "step",
         "rate_a",
@@ -142,6 +146,7 @@ def segment_gap(
         extra.alias("extra_purchases"),
         (extra * value).alias("extra_revenue_usd"),
     )
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def biggest_leak(rates: DataFrame) -> DataFrame:
@@ -328,16 +333,27 @@ def peak_week(tree: DataFrame) -> DataFrame:
 # ---- retention -----------------------------------------------------------------
 
 
-def retention_matrix(cohorts: DataFrame, offsets: Sequence[int] | None = None) -> DataFrame:
-    """Cohort by week offset. Cells past the data stay NULL.
+def retention_cells(cohorts: DataFrame) -> DataFrame:
+    """Observed cells of the retention table, one row each."""
+    return cohorts.select("cohort_week", "cohort_users", "week_offset", "retention")
+
 
-    Given ``offsets``, the columns are fixed and the plan needs no extra pass to find them.
+def retention_matrix(cohorts: DataFrame) -> DataFrame:
+    """Cohort by week offset, with a column for every offset in the data. Cells past the data stay NULL.
+
+    Finding the offsets is a pass over a calendar-sized table.
     """
-    return (
-        cohorts.groupBy("cohort_week", "cohort_users")
-        .pivot("week_offset", list(offsets) if offsets is not None else None)
-        .agg(F.first("retention"))
-    )
+    return cohorts.groupBy("cohort_week", "cohort_users").pivot("week_offset").agg(F.first("retention"))
+
+
+def unpivoted_matrix(matrix: DataFrame) -> DataFrame:
+    """The matrix as rows again, empty cells included."""
+    keys = ["cohort_week", "cohort_users"]
+    offsets = [c for c in matrix.columns if c not in keys]
+    if not offsets:  # no cohort at all
+        return matrix.select(*keys, F.lit(0).alias("week_offset"), F.lit(0.0).alias("retention"))
+    rows = matrix.unpivot(keys, [F.col(f"`{c}`") for c in offsets], "week_offset", "retention")
+    return rows.withColumn("week_offset", F.col("week_offset").cast("int"))
 
 
 def weighted_retention(cohorts: DataFrame, offsets: Sequence[int]) -> DataFrame:
@@ -404,7 +420,7 @@ def growth_drivers(peak: DataFrame) -> DataFrame:
 
 
 def channel_facts(rows: DataFrame) -> DataFrame:
-    """Best and worst named channel of sufficient size, and small ones that beat the best.
+    """Best and worst named channel of sufficient size, whether the worst is even below Direct, and small ones that beat the best.
 
     Needs two named channels; no row otherwise.
     """
@@ -416,6 +432,7 @@ def channel_facts(rows: DataFrame) -> DataFrame:
         F.count_if(named).alias("named"),
         best.alias("best"),
         worst.alias("worst"),
+        F.max(F.when(named & (F.col("channel") == "Direct"), rate)).alias("direct"),
         F.collect_list(F.when(F.col("small_sample"), F.struct("channel", "conversion"))).alias("small"),
     )
     better = F.filter("small", lambda s: s["conversion"] > F.col("best.conversion"))
@@ -424,6 +441,7 @@ def channel_facts(rows: DataFrame) -> DataFrame:
         F.col("best.conversion").alias("best_conversion"),
         F.col("worst.channel").alias("worst_channel"),
         F.col("worst.conversion").alias("worst_conversion"),
+        F.coalesce(F.col("worst.conversion") < F.col("direct"), F.lit(False)).alias("worst_below_direct"),
         F.array_join(F.array_sort(F.transform(better, lambda s: s["channel"])), ", ").alias("small_but_better"),
     )
 

@@ -13,6 +13,8 @@ import pytest
 import __spark_entry__ as entry
 import oracle_check
 from conftest import ROOT, SMALL
+from eventlens.catalog import queries as catalog
+from eventlens.plans.results import result_blocks
 
 SAMPLE = (
     "s5_params_by_slot",
@@ -73,8 +75,14 @@ def test_every_operator_of_the_inventory_has_a_query():
     assert len(ids) > 100 and ids - covered == set()
 
 
-def test_only_one_query_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"s17_results_document"}
+def test_every_query_of_the_catalogue_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_the_results_document_is_whole(spark):
+    blocks = result_blocks(catalog.Tables(spark, SMALL).m, catalog.Tables(spark, SMALL).items)
+    # The lift by test length is part of the design that SQL states as e8_detectable.
+    assert set(blocks) - {"experiment_detectable"} == {*catalog.BLOCKS, "source", "baseline_weeks"}
 
 
 def test_no_cross_join_in_any_plan(plans):
