@@ -692,7 +692,7 @@ add(
 )
 add(
     "a7_distinct_tuples",
-    lambda t: audit.tuple_counts(t.events, ["user_pseudo_id", "ga_session_id", "event_name"]),
+    lambda t: audit.tuple_counts(staging.row_counts(t.events), ["user_pseudo_id", "ga_session_id", "event_name"]),
     sql(
         f"SELECT {n('sum(c)')} AS rows, {n('count(*)')} AS distinct_rows FROM (SELECT count(*) AS c FROM ev GROUP BY user_pseudo_id, ga_session_id, event_name)",
         "ev",
@@ -1014,12 +1014,12 @@ def check_rows(frame: Callable[[Tables], DataFrame], *names: str) -> Callable[[T
 
 add(
     "q4_exact_duplicate_rows",
-    check_rows(lambda t: audit.duplicate_checks(t.events), "exact_duplicate_rows"),
+    check_rows(lambda t: audit.duplicate_checks(staging.row_counts(t.events)), "exact_duplicate_rows"),
     sql(DUP_SQL["exact_duplicate_rows"], "ev"),
 )
 add(
     "q12_duplicate_purchase_rows",
-    check_rows(lambda t: audit.duplicate_checks(t.events), "duplicate_purchase_rows"),
+    check_rows(lambda t: audit.duplicate_checks(staging.row_counts(t.events)), "duplicate_purchase_rows"),
     sql(DUP_SQL["duplicate_purchase_rows"], "ev"),
 )
 ITEM_SQL = {
@@ -1790,7 +1790,7 @@ def _cells(block: str, body: str) -> str:
     """Rows of a statement as cells, whatever its columns are, by way of JSON."""
     return f"""SELECT '{block}' AS block,
         coalesce(array_to_string(list_transform(list_sort(list_filter(map_entries(from_json(j, '"MAP(VARCHAR, JSON)"')), lambda e: json_type(e.value) = 'VARCHAR' AND (e.value ->> '$') <> 'nan')), lambda e: e.value ->> '$'), '|'), '') AS "row",
-        c.key, CASE json_type(c.value) WHEN 'BOOLEAN' THEN (c.value::BOOLEAN)::INT::DOUBLE WHEN 'VARCHAR' THEN NULL ELSE try_cast(c.value AS DOUBLE) END AS number,
+        c.key, CASE json_type(c.value) WHEN 'BOOLEAN' THEN (c.value::BOOLEAN)::INT::DOUBLE WHEN 'VARCHAR' THEN NULL ELSE nullif(try_cast(c.value AS DOUBLE), 'nan'::DOUBLE) END AS number,
         CASE WHEN json_type(c.value) = 'VARCHAR' THEN nullif(c.value ->> '$', 'nan') END AS text
         FROM (SELECT to_json(q) AS j FROM ({body}) q), LATERAL (SELECT unnest(map_entries(from_json(j, '"MAP(VARCHAR, JSON)"')), recursive := true)) c"""
 

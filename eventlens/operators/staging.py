@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlens.functions.events import session_key
 
@@ -17,11 +18,23 @@ def placeable_hits(events: DataFrame) -> DataFrame:
     return events.dropna(subset=["user_pseudo_id", "ga_session_id"]).withColumn("session_key", session_key())
 
 
+def row_counts(events: DataFrame) -> DataFrame:
+    """Distinct rows and how many ``copies`` each has: the one shuffle of whole rows that a build makes.
+
+    Copies combine before the shuffle, and the rest is spread over all columns, so neither a hot session nor a hot
+    group of copies lands in one task. Duplicate checks are sums of the counts, and ``stage_events`` is this table.
+    """
+    return events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def stage_events(events: DataFrame) -> DataFrame:
     """Placeable rows with exact copies collapsed: what counts and sums must read.
 
-    ``distinct`` combines copies before its shuffle and spreads the rest over all
-    columns, so neither a hot session nor a hot group of copies lands in one task.
-    A filter on the result is pushed through it to the scan.
+    A filter on the result is pushed through ``distinct`` to the scan.
     """
     return placeable_hits(events.distinct())
+
+
+def staged_from_counts(counted: DataFrame) -> DataFrame:
+    """The same rows from what ``row_counts`` has written: no shuffle."""
+    return placeable_hits(counted.drop("copies"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.config import Config
-from eventlens.operators import audit, checks, crosscheck
+from eventlens.operators import audit, checks, crosscheck, staging
 from eventlens.plans.models import Models
 from eventlens.plans.results import export_frames, result_blocks
 from eventlens.sources import readers, sinks
@@ -18,8 +18,7 @@ from eventlens.sources.ingest import require_source
 # Build order. Tables of one stage do not depend on each other and are written side by
 # side; the next stage starts from the files.
 STAGES = (
-    ("stg_events", "session_funnel"),
-    ("purchases",),
+    ("session_funnel", "purchases"),
     ("sessions",),
     ("funnel_segments", "weekly_metrics", "cohort_retention", "area_funnel", "user_windows"),
 )
@@ -72,7 +71,8 @@ def build(spark: SparkSession, raw: str, out: str, cfg: Config | None = None, so
     """Raw Parquet under ``raw`` to models, results and exports under ``out``; stops at the first failure.
 
     A run writes to a folder of its own, ``out/runs/<id>``, and ``out/current`` names it only after audit, data tests and
-    cross-check have passed: a run that fails leaves the published one as it was. With ``source`` the manifest that
+    cross-check have passed: a run that fails leaves the published one as it was. ``events`` there holds the distinct raw rows with
+    their number of copies. With ``source`` the manifest that
     ``ingest`` wrote must name it.
     """
     cfg = cfg or Config()
@@ -80,9 +80,11 @@ def build(spark: SparkSession, raw: str, out: str, cfg: Config | None = None, so
         require_source(spark, f"{raw}/manifest", source)
     run = f"{out}/runs/{uuid4().hex}"
     events, items = readers.read_events(spark, raw), readers.read_items(spark, raw)
-    report = sinks.materialise(audit.audit(events, items, cfg), f"{run}/audit")
+    # Whole rows are shuffled here and nowhere else; audit and models read what this wrote, by day.
+    counted = sinks.materialise(staging.row_counts(events), f"{run}/events", "event_date")
+    report = sinks.materialise(audit.audit(events, items, cfg, counted), f"{run}/audit")
     audit.require_pass(report)  # nothing is built on rows that fail
-    m = materialise_models(Models(events, cfg), f"{run}/models")
+    m = materialise_models(Models(events, cfg, counted), f"{run}/models")
     require_agreement(m)
     blocks: dict[str, DataFrame] = {**result_blocks(m, items, source), "audit": report}
     exports = export_frames(m)

@@ -18,19 +18,21 @@ class Models:
     Minima, maxima and flags read ``hits`` (copies still in, no shuffle); only page
     views and purchases, which are counts, read the de-duplicated ``stg_events``, and
     their event filter is pushed below the de-duplication. The whole table is never
-    shuffled to answer a session question.
+    shuffled to answer a session question. With ``counted`` (``staging.row_counts``, written) nothing is
+    de-duplicated again.
     """
 
     events: DataFrame
     cfg: Config
+    counted: DataFrame | None = None
 
     @cached_property
     def hits(self) -> DataFrame:
-        return staging.placeable_hits(self.events)
+        return staging.placeable_hits(self.events) if self.counted is None else self.stg_events
 
     @cached_property
     def stg_events(self) -> DataFrame:
-        return staging.stage_events(self.events)
+        return staging.stage_events(self.events) if self.counted is None else staging.staged_from_counts(self.counted)
 
     @cached_property
     def purchases(self) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from datetime import date, timedelta
 from pathlib import Path
@@ -32,6 +33,25 @@ def test_full_build_writes_models_results_and_exports(spark, adapted, tmp_path):
     assert 0 <= rate <= 0.2
 
 
+def test_whole_rows_are_shuffled_once(spark, adapted):
+    """Counting copies moves all columns; audit and models from its table do not."""
+    from eventlens.operators import audit, staging
+    from eventlens.plans.models import Models
+
+    def wide(df) -> int:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        names = adapted["events"].columns
+        groups = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+        return sum(all(f"{c}#" in g for c in names) for g in groups)
+
+    counted = staging.row_counts(adapted["events"])
+    assert wide(counted) == 1
+    stored = spark.createDataFrame([], counted.schema)
+    m = Models(adapted["events"], adapter.CONFIG, stored)
+    frames = [audit.audit(adapted["events"], adapted["items"], adapter.CONFIG, stored), m.session_funnel, m.purchases, m.sessions]
+    assert [wide(df) for df in frames] == [0, 0, 0, 0]
+
+
 def test_a_failing_audit_stops_the_build(spark, adapted, tmp_path):
     longer = replace(adapter.CONFIG, window_end=date(2024, 3, 31))
     with pytest.raises(AuditFailed, match="missing_days"):
