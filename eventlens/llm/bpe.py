@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from eventlens.llm.common import fields
 
@@ -160,9 +161,10 @@ class Codec:
     def offsets(self, raw: bytes) -> list[tuple[int, int]]:
         """For each token, the range of characters (code points) that its bytes touch."""
         data = np.frombuffer(self.decode(raw), np.uint8)
-        end = np.cumsum([len(self.bytes[i]) for i in self.ids(raw)], dtype=np.int64)
+        length = np.array([len(self.bytes[i]) for i in self.ids(raw)], np.int64)
+        end = np.cumsum(length)
         begun = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        start = np.concatenate(([0], end[:-1]))
+        start = end - length
         inside = np.append((data & 0xC0) == 0x80, False)
         return [(int(begun[s] - inside[s]), int(begun[e])) for s, e in zip(start, end, strict=True)]
 
@@ -179,8 +181,10 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
     Null and empty texts have empty arrays; columns of those names are replaced; rows are never dropped.
     """
     docs = docs.drop("ids", "offsets")
-    schema = fields(docs).add("ids", "array<int>")
-    schema = schema.add("offsets", "array<struct<start:int,end:int>>") if offsets else schema
+    whole = T.IntegerType()
+    schema = fields(docs).add("ids", T.ArrayType(whole))
+    if offsets:
+        schema = schema.add("offsets", T.ArrayType(T.StructType().add("start", whole).add("end", whole)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
