@@ -39,7 +39,7 @@ class Rule:
     near: float
     attach: float
     leave: float
-    limit: int = 512
+    limit: int = 4096
     depth: int = 24
 
     def matrix(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -136,18 +136,34 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Rows of a bucket that are compared all with all; more are first thinned out by pivots.
+DENSE = 256
+
+
 def _forest_of(node: np.ndarray, sketch: np.ndarray, rule: Rule, a: list[np.ndarray], b: list[np.ndarray]) -> None:
+    """Forest of one bucket in memory that grows with its rows: row after row is the pivot of those that are left."""
     node, first = np.unique(node, return_index=True)
-    # Beyond the limit (only at the last level) in strips, each with its forest.
-    for x in range(0, len(node), rule.limit):
-        for y in range(x, len(node), rule.limit):
-            at = np.unique(np.concatenate([np.arange(x, min(x + rule.limit, len(node))), np.arange(y, min(y + rule.limit, len(node)))]))
-            own = sketch[first[at]]
-            alike = np.concatenate([rule.alike(own[k : k + 64, None], own[None]) for k in range(0, len(at), 64)])
-            label = forest(alike >= rule.near)
-            moved = np.flatnonzero(label != np.arange(len(at)))
-            a.append(node[at[moved]])
-            b.append(node[at[label[moved]]])
+    sketch = sketch[first]
+    label, left = np.arange(len(node)), np.arange(len(node))
+
+    def join(rows: np.ndarray) -> None:
+        known = np.unique(label[rows])
+        if len(known) > 1:
+            label[np.isin(label, known)] = known[0]
+
+    while len(left) > DENSE:
+        like = rule.alike(sketch[left], sketch[left[:1]])
+        join(left[like >= rule.attach])
+        left = left[like < rule.leave]
+    own = sketch[left]
+    alike = [rule.alike(own[k : k + 64, None], own[None]) for k in range(0, len(left), 64)]
+    if alike:
+        tree = forest(np.concatenate(alike) >= rule.near)
+        for root in np.unique(tree):
+            join(left[tree == root])
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    a.append(node[moved])
+    b.append(node[label[moved]])
 
 
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:

@@ -40,7 +40,7 @@ class Near:
     bucket: int = 16
     sample: int = 8192
     rounds: int = 20
-    limit: int = 512
+    limit: int = 4096
     seed: int = 5
 
 

@@ -37,7 +37,7 @@ class Join:
     threshold: float = 0.8
     tokens: int = 128
     runs: int = 16
-    limit: int = 512
+    limit: int = 4096
 
 
 def _set_id(members: np.ndarray) -> bytes:

@@ -78,7 +78,7 @@ def corpus(rng: random.Random, groups: int, size: int) -> list[str | None]:
     return texts
 
 
-@pytest.mark.parametrize("limit", [512, 4])
+@pytest.mark.parametrize("limit", [4096, 4])
 def test_jaccard_join_against_brute_force(spark, limit):
     rng = random.Random(limit)
     texts = corpus(rng, 12, 6) + [" ".join(["long"] * 40_000), " ".join(f"x{k}" for k in range(20_000))] * 2
@@ -91,13 +91,14 @@ def test_jaccard_join_against_brute_force(spark, limit):
     assert kept == {i for i, _, _, _, keep in brute(rows).values() if keep}
 
 
-def test_one_large_group_and_block_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [4096, 16])
+def test_one_large_group_and_block_pairs(spark, monkeypatch, limit):
     monkeypatch.setattr(exact, "LEAST", 8)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(200)]
-    rows = [(k, edited(rng, base, 0.01)) for k in range(90)]
+    rows = [(k, edited(rng, base, rng.choice([0.005, 0.01, 0.02]))) for k in range(300 if limit > 300 else 90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {tuple(r) for r in jaccard.linked_documents(docs, jaccard.Join(limit=16)).collect()}
+    got = {tuple(r) for r in jaccard.linked_documents(docs, jaccard.Join(limit=limit)).collect()}
     assert got == set(brute(rows).values())
 
 
@@ -151,7 +152,7 @@ def vectors(rng: np.random.Generator, dims: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("limit,dims", [(512, 32), (8, 32), (512, 6)])
+@pytest.mark.parametrize("limit,dims", [(4096, 32), (8, 32), (4096, 6)])
 def test_embedding_links_against_brute_force(spark, limit, dims):
     rows = vectors(np.random.default_rng(limit), dims)
     got = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, unit string")
@@ -161,7 +162,7 @@ def test_embedding_links_against_brute_force(spark, limit, dims):
     found = sorted(map(tuple, got.collect()), key=str)
     assert sum(r[1] for r in found) >= 0.99 * sum(r[1] for r in want)
     assert all(a[1] <= b[1] for a, b in zip(found, want, strict=True))
-    if limit == 512:
+    if limit == 4096:
         assert found == want
 
 
