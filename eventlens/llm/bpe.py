@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from eventlens.llm.common import fields
 
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: The usual pattern of byte-level vocabularies, for tokenizer files, which name it only by kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside of printable Latin text and usual white space.
