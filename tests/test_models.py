@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens.config import Config
 from eventlens.operators import areas, cohorts, funnel, purchases, segments, staging
-from eventlens.operators.crosscheck import differences, first_after, first_step, model_totals, recompute
+from eventlens.operators.crosscheck import differences, first_step, model_totals, next_step, recompute
 from eventlens.plans.models import Models
 
 STEPS = Config().steps
@@ -94,11 +94,29 @@ def test_any_number_of_steps(spark):
     assert two["reached_s1"] == 1
 
 
-def test_range_join_finds_the_first_hit_at_or_after(spark):
+def test_chain_finds_the_first_hit_at_or_after(spark):
     raw = events(spark, hit(VIEW, 100), hit(CHECKOUT, 50), hit(CHECKOUT, 100), hit(CHECKOUT, 9_000))
     named = raw.select(F.lit("k").alias("k"), "event_name", "event_ts")
-    found = first_after(named.filter(F.col("event_name") == CHECKOUT), first_step(named, STEPS)).first()
-    assert found["t"] == T0 + timedelta(seconds=100)
+    found = next_step(named.filter(F.col("event_name") == CHECKOUT).select("k", "event_ts"), first_step(named, STEPS)).first()
+    assert found["t"] == T0 + timedelta(seconds=100) and found["reached"] == 2
+
+
+def test_chain_with_wrong_clocks_and_a_hot_hour(spark):
+    """Hits decades apart and an hour with most of the rows: as many rows as there are hours with events, and the same counts."""
+    years = 3600 * 24 * 365
+    hits = [hit(VIEW, -51 * years), hit(VIEW, 10), hit(CHECKOUT, 79 * years), hit(CHECKOUT, -51 * years - 5)]
+    hits += [hit(VIEW, k) for k in range(300)] + [hit(CHECKOUT, k) for k in range(300, 340)]
+    raw = events(spark, *hits)
+    named = raw.select(F.lit("k").alias("k"), "event_name", "event_ts")
+    start = first_step(named, STEPS).first()
+    assert len(start["hours"]) == 3 and start["reached"] == 1
+    got = {r["metric"]: r["value"] for r in recompute(raw, STEPS).collect()}
+    assert got[f"reached_{VIEW}"] == got[f"reached_{CHECKOUT}"] == got["sessions"] == 1
+
+
+def test_the_cross_check_needs_few_scans_and_joins(spark, adapted):
+    plan = recompute(adapted["events"], STEPS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 5 and plan.count("Join [") <= 3 and "sequence(" not in plan
 
 
 def test_staging_drops_copies_and_unplaceable_rows(spark):
