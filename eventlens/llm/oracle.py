@@ -83,4 +83,70 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM placed GROUP BY conv_id
 """
 
-ORACLES = {"op5_jaccard": OP5, "op6_embeddings": OP6, "op9_warc": OP9, "op10_chat": OP10}
+#: crc32 byte by byte over a table of 256 entries; near words meet in what is left after a letter is taken out.
+OP11 = r"""
+WITH RECURSIVE bits(v, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), often AS (
+  SELECT id, run, length(run) AS len, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, len, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))),
+    lambda a, b: xor(a >> 8, crc.t[1 + (xor(a, b) & 255)]))) AS h
+  FROM often, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % len)::INT) || substring(run, (h % len)::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(times) >= 2
+), less AS (
+  SELECT word, n, length(word) AS len, k, substring(word, 1, k - 1) || substring(word, k + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.len = b.len AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM less a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, a.word FROM less a JOIN words w ON a.rest = w.word
+), best AS (
+  SELECT p.a AS word, count(*) AS n_near, list(struct_pack(n := w.n, word := w.word) ORDER BY w.n DESC, encode(w.word))[1] AS top
+  FROM pairs p JOIN words w ON w.word = p.b GROUP BY p.a
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.top.n >= 10 * w.n THEN b.top.word END AS form,
+    CASE WHEN b.top.n >= 10 * w.n THEN b.top.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), walk(word, place) AS (
+  SELECT word, word FROM formed UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.place WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, k.place AS root
+FROM formed f JOIN walk k ON k.word = f.word JOIN formed e ON e.word = k.place AND e.form IS NULL
+"""
+
+OP12 = r"""
+WITH terms AS (
+  SELECT rowid_ AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)
+), counts AS (
+  SELECT d, doc_id, t, count(*)::BIGINT AS tf FROM terms GROUP BY ALL
+), docs AS (
+  SELECT d, sum(tf)::BIGINT AS n FROM counts GROUP BY d
+), whole AS (
+  SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM docs
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*)::BIGINT AS df FROM counts WHERE t IN (SELECT t FROM items) GROUP BY t), whole
+), scored AS (
+  SELECT i.item_id, c.d, c.doc_id, sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + (50 * docs.n * nn) // ll))))::BIGINT AS score
+  FROM items i JOIN weights w USING (t) JOIN counts c USING (t) JOIN docs ON docs.d = c.d, whole GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLES = {"op5_jaccard": OP5, "op6_embeddings": OP6, "op9_warc": OP9, "op10_chat": OP10, "op11_spelling": OP11, "op12_lexical": OP12}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventlens.llm import bpe, chat, embeddings, jaccard, mixing, quality, records, simhash, toxicity, warc
+from eventlens.llm import bpe, chat, embeddings, jaccard, lexical, licenses, mixing, quality, records, simhash, spelling, toxicity, warc
 from eventlens.llm.common import work_dir
 from eventlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -79,11 +79,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(turns.unionByName(own)))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_simhash, op3_toxicity, op4_token_records, op5_jaccard, op6_embeddings, op7_bpe, op8_mixing, op9_warc, op10_chat, pipeline)
+    for f in (op1_quality, op2_simhash, op3_toxicity, op4_token_records, op5_jaccard, op6_embeddings, op7_bpe, op8_mixing, op9_warc, op10_chat, op11_spelling, op12_lexical, op13_licenses, pipeline)
 }
