@@ -3,13 +3,18 @@
 A vocabulary is a tokenizer file of that library, or a file of ranks (base64 token, rank). For ranks the
 tokens' bytes are mapped to printable characters, every split of a token into two tokens becomes a merge
 in order of the token's rank, and a piece that is itself a token is taken whole: the rules by which rank
-files are read. Merges never cross the pieces that the pattern cuts, so a text is cut at single spaces
-(before which the pattern always cuts if no white space follows) and each distinct chunk, and each
-distinct piece in them, goes to the library's BPE model once and is remembered, within a bound.
+files are read. Merges never cross the pieces that the pattern cuts. So a batch of texts is cut, as one array of
+bytes, before each space that no white space follows, where the pattern always cuts; its distinct chunks are found by
+Arrow, those not yet remembered go to the library's BPE model, and the ids of all chunks are gathered by place. A text
+that holds one of the tokens that a tokenizer file adds (``<|endoftext|>``) goes to the library whole, which knows
+them, unless ``plain`` asks for ordinary text.
 
 Decoding joins the tokens' bytes, by the table of bytes and characters read backwards. A character whose
 bytes are split over tokens has no place of its own in any of them: offsets give each token the range of
 characters that its bytes touch, and ``decode_text`` puts split characters together again.
+
+Defined results: null and empty texts have no ids; equal texts have equal ids, repeated rows stay; whole texts of any
+length are encoded, memory follows the batch; an empty table stays empty; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import base64
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,18 +35,18 @@ from pyspark.sql import types as T
 
 from eventlens.llm.common import fields
 
-#: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 700_000
+#: Chunks, and as many pieces, that a worker remembers before it starts afresh.
+REMEMBERED = 300_000
+#: Bytes of text that are encoded at once; a longer text is a portion of its own.
+PORTION = 4 << 20
+#: Bytes that may begin a white space character, and those below, do not tell that a chunk begins.
+_MAY_BE_SPACE = np.array([b < 0x21 or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 #: The usual pattern of byte-level vocabularies, for tokenizer files, which name it only by kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside of printable Latin text and usual white space.
 _RARE = re.compile("[^\t-\r\x20-\x7e\xa0-\u024f]")
 
 
-class _Tied(Exception):
-    """White space follows a space: the pattern cuts such text otherwise than chunk by chunk."""
-
-
 class _Remembered(dict):
     """Values made on first use."""
 
@@ -98,7 +104,7 @@ _LETTERS = _Letters()
 class Codec:
     """One vocabulary in one process."""
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -106,46 +112,90 @@ class Codec:
             self.tokenizer = Tokenizer.from_file(path)
         else:
             self.tokenizer = tokenizer_of_ranks(read_ranks(path), pattern)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = {} if plain else {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = [content.encode() for content in added.values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         back = {c: b for b, c in enumerate(byte_characters())}
-        self.bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
+        self.bytes = [b""] * (max([*vocab.values(), *added]) + 1)
+        for token, i in [*vocab.items(), *((content, i) for i, content in added.items())]:
             # Added tokens are spelled as plain text and are not made of byte characters.
-            self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+            self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) and i not in added else token.encode()
         self.size = len(self.bytes)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.token_bytes = pa.array(self.bytes, pa.large_binary())
         self.cut = regex.compile(pattern or PATTERN).findall
-        self.known = _Remembered(lambda piece: self._merge(piece.translate(_LETTERS)))
-        self.later = _Remembered(self._after_space)
+        self.pieces = _Remembered(lambda piece: self._merge(piece.translate(_LETTERS)))
+        self._forget()
 
-    def _after_space(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace():
-            raise _Tied
-        return self._encode(" " + chunk)
+    def _forget(self) -> None:
+        self.pieces.clear()
+        self.chunks: dict[bytes, int] = {}
+        #: Ids of all remembered chunks, and where those of each begin.
+        self.flat, self.starts = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _encode(self, text: str) -> bytes:
         """Cut into the pieces that merges stay within. Plain scripts are cut here, which is faster; where tables
         of characters may differ, the library cuts them itself."""
         if _RARE.search(text):
             return b"".join([self._merge(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-        return b"".join(map(self.known.__getitem__, self.cut(text)))
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def _merge(self, piece: str) -> bytes:
         return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
 
+    def _numbers(self, distinct: list[bytes]) -> np.ndarray:
+        """Place of each chunk among those remembered; new ones are encoded."""
+        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
+            self._forget()
+        new = [c for c in distinct if c not in self.chunks]
+        if new:
+            made = [self._encode(c.decode("utf-8", "surrogatepass")) for c in new]
+            self.chunks.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), self.dtype)])
+            size = np.cumsum([len(m) // self.dtype.itemsize for m in made])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + size])
+        return np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))
+
+    def portions(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+        """(first text, its bytes as binary without nulls, ids, bounds): ids of text k are ``ids[bounds[k]:bounds[k + 1]]``."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, side="right")) - 1)
+            part = texts.slice(at, stop - at)
+            yield (at, part.cast(pa.large_binary()), *self._portion(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at]))
+            at = stop
+
+    def _portion(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = data.tobytes()
+        special = [k for k in range(len(bounds) - 1) if any(a in whole[bounds[k] : bounds[k + 1]] for a in self.added)] if any(a in whole for a in self.added) else []
+        space = np.flatnonzero(data[:-1] == 32)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[space[~_MAY_BE_SPACE[data[space + 1]]]] = True
+        begins[bounds] = True
+        edges = np.flatnonzero(begins)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        known = chunks.dictionary_encode()
+        number = self._numbers(known.dictionary.to_pylist())[known.indices.to_numpy()]
+        size = self.starts[number + 1] - self.starts[number]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
+        ends = upto[np.searchsorted(edges, bounds)]
+        if special:
+            by_text = np.split(ids, ends[1:-1])
+            for k in special:
+                text = whole[bounds[k] : bounds[k + 1]].decode("utf-8", "surrogatepass")
+                by_text[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+            ids, ends = np.concatenate(by_text), np.concatenate(([0], np.cumsum([len(x) for x in by_text])))
+        return ids, ends
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian integers of ``dtype``; a null text counts as empty."""
         out = []
-        for text in texts:
-            if len(self.later) > REMEMBERED:
-                self.later.clear()
-                self.known.clear()
-            chunks = (text or "").split(" ")
-            try:
-                out.append(self._encode(chunks[0]) + b"".join(map(self.later.__getitem__, chunks[1:])))
-            except _Tied:
-                out.append(self._encode(text))
+        for _, _, ids, bounds in self.portions(pa.array(texts, pa.large_string())):
+            out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return out
 
     def ids(self, raw: bytes) -> np.ndarray:
@@ -158,21 +208,30 @@ class Codec:
         """The text; bytes that end in the middle of a character become the replacement character."""
         return self.decode(raw).decode("utf-8", "replace")
 
-    def offsets(self, raw: bytes) -> list[tuple[int, int]]:
-        """For each token, the range of characters (code points) that its bytes touch."""
-        data = np.frombuffer(self.decode(raw), np.uint8)
-        length = np.array([len(self.bytes[i]) for i in self.ids(raw)], np.int64)
-        end = np.cumsum(length)
-        begun = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        start = end - length
-        inside = np.append((data & 0xC0) == 0x80, False)
-        return [(int(begun[s] - inside[s]), int(begun[e])) for s, e in zip(start, end, strict=True)]
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all tokens one after another, and where those of each begin (one place more at the end)."""
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        taken = self.token_bytes.take(pa.array(ids))
+        return np.frombuffer(taken.buffers()[2] or b"", np.uint8), np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
+
+    def offsets(self, raw: bytes) -> np.ndarray:
+        """For each token a row: the range of characters (code points) that its bytes touch."""
+        data, edges = self.spelled(self.ids(raw))
+        return touched(data, edges)
+
+
+def touched(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(first, end) of the characters that the bytes between neighbouring edges belong to, counted from the start of ``data``."""
+    inside = np.append((data & 0xC0) == 0x80, False)
+    begun = np.concatenate(([0], np.cumsum(~inside[:-1])))
+    return np.stack([begun[edges[:-1]] - inside[edges[:-1]], begun[edges[1:]]], axis=1)
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str | None = None) -> Codec:
+def codec(path: str, pattern: str | None = None, plain: bool = False) -> Codec:
     """The vocabulary of this process: read once by each worker, from a path that every node has."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, plain)
 
 
 def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "text", offsets: bool = False) -> DataFrame:
@@ -192,8 +251,11 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
             raw = own.encode(batch.column(text).to_pylist())
             batch = batch.append_column("ids", _lists([own.ids(r).astype(np.int32) for r in raw]))
             if offsets:
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                batch = batch.append_column("offsets", pa.array([[{"start": a, "end": b} for a, b in own.offsets(r)] for r in raw], kind))
+                ranges = [own.offsets(r) for r in raw]
+                ends = _lists([r[:, 0].astype(np.int32) for r in ranges]).offsets
+                flat = np.concatenate([*ranges, np.zeros((0, 2), np.int64)]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"])
+                batch = batch.append_column("offsets", pa.ListArray.from_arrays(ends, pairs))
             yield batch
 
     return docs.mapInArrow(work, schema)
@@ -218,40 +280,59 @@ def decode(frame: DataFrame, path: str, pattern: str | None = None, name: str =
     return frame.mapInArrow(work, fields(frame).add(name, "binary"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Encode and decode in one pass: the columns of ``keep`` (all), ``n_tokens``, digests of ids and decoded bytes.
+def round_trip(docs: DataFrame, path: str, pattern: str | None = None, keep: list[str] | None = None, plain: bool = False) -> DataFrame:
+    """Encode and decode in one pass: the columns of ``keep`` (all), then
+
+    * ``n_tokens`` and ``ids_sha256``, of the decimal ids joined by commas;
+    * ``decoded_sha256``, of the bytes that the ids stand for, and ``lossless``, whether these are the text's;
+    * ``n_split``, tokens that begin or end inside a character, and ``offsets_crc32``, of the first and end character of
+      each token as little-endian unsigned 32-bit integers.
 
-    ``ids_sha256`` is of the decimal ids joined by commas; ids stay in the task, so nothing wide is moved.
+    Ids stay in the task, so nothing wide is moved.
     """
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "lossless"]
-    docs = docs.drop(*names)
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "lossless": "boolean", "n_split": "long", "offsets_crc32": "long"}
+    docs = docs.drop(*added)
     kept = keep if keep is not None else docs.columns
     schema = fields(docs.select(*kept))
-    for n, t in zip(names, ("long", "string", "string", "boolean"), strict=True):
+    for n, t in added.items():
         schema = schema.add(n, t)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, plain)
+        decimal = pa.array([f"{i},".encode() for i in range(own.size)], pa.large_binary())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts, digests, decoded, same = [], [], [], []
-            for text, raw in zip(texts, own.encode(texts), strict=True):
-                ids = own.ids(raw).tolist()
-                back = b"".join(map(own.bytes.__getitem__, ids))
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(_decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(back).hexdigest())
-                same.append(back == (text or "").encode("utf-8", "surrogatepass"))
-            values = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded), pa.array(same)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *values], schema=pa.schema([*[batch.schema.field(k) for k in kept], ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())]))
+            for first, texts, ids, bounds in own.portions(batch.column("text")):
+                values = _trip(own, decimal, texts, ids, bounds)
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], *values], [*kept, *added])
 
     return docs.mapInArrow(work, schema)
 
 
-class _Decimals(dict):
-    def __missing__(self, i: int) -> str:
-        self[i] = out = str(i)
-        return out
-
-
-_decimal = _Decimals()
+def _trip(own: Codec, decimal: pa.Array, texts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    numbers = decimal.take(pa.array(ids))
+    number_at = np.frombuffer(numbers.buffers()[1], np.int64)[bounds] if len(ids) else np.zeros(len(bounds), np.int64)
+    written = memoryview(numbers.buffers()[2] or b"")
+    data, edges = own.spelled(ids)
+    byte_at = edges[bounds]
+    spelled = memoryview(data)
+    source = texts.buffers()[2]
+    source = memoryview(source).cast("B") if source else memoryview(b"")
+    source_at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    ranges = touched(data, edges).astype("<u4")
+    inside = np.append((data & 0xC0) == 0x80, False)
+    split = np.concatenate(([0], np.cumsum(inside[edges[:-1]] | inside[edges[1:]])))
+    digests, decoded, same, places = [], [], [], []
+    for k in range(len(texts)):
+        a, b = bounds[k], bounds[k + 1]
+        digests.append(hashlib.sha256(written[number_at[k] : max(number_at[k], number_at[k + 1] - 1)]).hexdigest())
+        back = spelled[byte_at[k] : byte_at[k + 1]]
+        decoded.append(hashlib.sha256(back).hexdigest())
+        same.append(back == source[source_at[k] : source_at[k + 1]])
+        # Characters are counted from the text's own start.
+        own_ranges = ranges[a:b] - ranges[a, 0] if b > a else ranges[:0]
+        places.append(zlib.crc32(own_ranges.tobytes()))
+    return [
+        pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_()),
+        pa.array(split[bounds[1:]] - split[bounds[:-1]], pa.int64()), pa.array(places, pa.int64()),
+    ]

@@ -40,7 +40,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "records")
     records.write(table(spark, sf_dir, "documents"), path, VOCABULARY)
-    return records.index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    index = records.index(spark, path).select("part", "offset", "doc_id", "start", "n_tokens", "ids_crc32")
+    # The same records once more, as a reader that shuffles gets them: by their places in the index, in a drawn order.
+    again = records.fetched(spark, path, records.turns(spark, path, seed=1), digest=True)
+    return index.join(again.select("part", "offset", "fetched_crc32"), ["part", "offset"]).drop("part", "offset")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
