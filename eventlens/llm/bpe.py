@@ -4,10 +4,10 @@ A vocabulary is a tokenizer file of that library, or a file of ranks (base64 tok
 tokens' bytes are mapped to printable characters, every split of a token into two tokens becomes a merge
 in order of the token's rank, and a piece that is itself a token is taken whole: the rules by which rank
 files are read. Merges never cross the pieces that the pattern cuts. So a batch of texts is cut, as one array of
-bytes, before each space that no white space follows, where the pattern always cuts; its distinct chunks are found by
-Arrow, those not yet remembered go to the library's BPE model, and the ids of all chunks are gathered by place. A text
-that holds one of the tokens that a tokenizer file adds (``<|endoftext|>``) goes to the library whole, which knows
-them, unless ``plain`` asks for ordinary text.
+bytes, where the usual pattern always cuts (``_cuts``); its distinct chunks are found by Arrow, those not yet remembered go
+to the library's BPE model, and Arrow gathers the ids of all chunks. A worker remembers a bounded number of chunks and
+keeps those that come again. A text that holds one of the tokens that a tokenizer file adds (``<|endoftext|>``) goes to
+the library whole, which knows them, unless ``plain`` asks for ordinary text; with another pattern all texts do.
 
 Decoding joins the tokens' bytes, by the table of bytes and characters read backwards. A character whose
 bytes are split over tokens has no place of its own in any of them: offsets give each token the range of
@@ -35,28 +35,46 @@ from pyspark.sql import types as T
 
 from eventlens.llm.common import fields
 
-#: Chunks, and as many pieces, that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Chunks that a worker remembers; beyond, those go that are used least.
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once; a longer text is a portion of its own.
 PORTION = 4 << 20
-#: Bytes that may begin a white space character, and those below, do not tell that a chunk begins.
-_MAY_BE_SPACE = np.array([b < 0x21 or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 #: The usual pattern of byte-level vocabularies, for tokenizer files, which name it only by kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside of printable Latin text and usual white space.
 _RARE = re.compile("[^\t-\r\x20-\x7e\xa0-\u024f]")
 
 
-class _Remembered(dict):
-    """Values made on first use."""
+#: A chunk that is one piece as it is.
+_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
+_BYTE = np.arange(256)
+_IS_LETTER = np.isin(_BYTE, np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+#: Printable ASCII besides letters, space and the apostrophe, with which contractions begin.
+_IS_MARK = (_BYTE > 0x20) & (_BYTE < 0x7F) & ~_IS_LETTER & (_BYTE != ord("'"))
+#: Bytes that may begin a white space character, and those below, do not tell that a chunk begins.
+_MAY_BE_SPACE = (_BYTE < 0x21) | np.isin(_BYTE, [0xC2, 0xE1, 0xE2, 0xE3])
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, key: str) -> bytes:
-        self[key] = out = self.make(key)
-        return out
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """For each byte but the first, whether the usual pattern cuts before it, whatever else the text holds:
+
+    * before a space that no white space follows (a longer run of white space ends before its last one);
+    * between a letter and any other ASCII character (letters make pieces of their own, and a contraction begins with its mark);
+    * between a mark or digit and a letter, but after an apostrophe;
+    * between a line's end and a letter, if the line ends with a mark or letter (a single one is a piece).
+
+    Only ASCII decides, what may be something else does not cut.
+    """
+    letter = _IS_LETTER[data]
+    before, after = data[:-1], data[1:]
+    cut = letter[:-1] & ~letter[1:] & (after < 0x80)
+    cut |= _IS_MARK[before] & letter[1:]
+    space = np.flatnonzero(after[:-1] == 32)
+    cut[space[~_MAY_BE_SPACE[data[space + 2]]]] = True
+    line = np.flatnonzero((before == 10) & letter[1:])
+    line = line[line > 0]
+    cut[line[(data[line - 1] > 0x20) & (data[line - 1] < 0x7F)]] = True
+    return cut
 
 
 def byte_characters() -> list[str]:
@@ -125,36 +143,50 @@ class Codec:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.token_bytes = pa.array(self.bytes, pa.large_binary())
         self.cut = regex.compile(pattern or PATTERN).findall
-        self.pieces = _Remembered(lambda piece: self._merge(piece.translate(_LETTERS)))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.pieces.clear()
+        self.usual = (pattern or PATTERN) == PATTERN
+        #: Place of each remembered chunk; ids of all, where those of each begin, and how often it was used.
         self.chunks: dict[bytes, int] = {}
-        #: Ids of all remembered chunks, and where those of each begin.
-        self.flat, self.starts = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.flat, self.starts, self.used = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _encode(self, text: str) -> bytes:
+    def _forget(self) -> None:
+        """Keep the chunks used most, half of the bound at most and none that was used once."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argsort(self.used[keep])[len(keep) - REMEMBERED // 2 :]])
+        names = list(self.chunks)
+        size = np.diff(self.starts)
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(self.starts * self.dtype.itemsize), pa.py_buffer(self.flat)]).take(pa.array(keep))
+        self.flat = np.frombuffer(b"".join(ids.to_pylist()), self.dtype)
+        self.starts = np.concatenate(([0], np.cumsum(size[keep])))
+        self.used = self.used[keep] // 2
+        self.chunks = {names[k]: place for place, k in enumerate(keep.tolist())}
+
+    def _encode(self, text: str) -> list[int]:
         """Cut into the pieces that merges stay within. Plain scripts are cut here, which is faster; where tables
         of characters may differ, the library cuts them itself."""
         if _RARE.search(text):
-            return b"".join([self._merge(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
-
-    def _merge(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
+            pieces = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        else:
+            pieces = [piece.translate(_LETTERS) for piece in self.cut(text)]
+        return [t.id for piece in pieces for t in self.tokenizer.model.tokenize(piece)]
 
     def _numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Place of each chunk among those remembered; new ones are encoded."""
-        if len(self.chunks) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if len(self.chunks) > REMEMBERED:
             self._forget()
         new = [c for c in distinct if c not in self.chunks]
         if new:
-            made = [self._encode(c.decode("utf-8", "surrogatepass")) for c in new]
-            self.chunks.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), self.dtype)])
-            size = np.cumsum([len(m) // self.dtype.itemsize for m in made])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + size])
+            flat: list[int] = []
+            ends = []
+            tokenize, space = self.tokenizer.model.tokenize, _BYTES[32]
+            for c in new:
+                text = c.decode("utf-8", "surrogatepass")
+                flat += [t.id for t in tokenize(text.replace(" ", space))] if _WORD(c) else self._encode(text)
+                ends.append(len(flat))
+            self.chunks.update(zip(new, range(len(self.used), len(self.used) + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, np.array(flat, self.dtype)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends, np.int64)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         return np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))
 
     def portions(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
@@ -171,17 +203,21 @@ class Codec:
     def _portion(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = data.tobytes()
         special = [k for k in range(len(bounds) - 1) if any(a in whole[bounds[k] : bounds[k + 1]] for a in self.added)] if any(a in whole for a in self.added) else []
-        space = np.flatnonzero(data[:-1] == 32)
         begins = np.zeros(len(data) + 1, bool)
-        begins[space[~_MAY_BE_SPACE[data[space + 1]]]] = True
+        if self.usual and len(data) > 2:
+            begins[1:-1] = _cuts(data)
         begins[bounds] = True
         edges = np.flatnonzero(begins)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
         known = chunks.dictionary_encode()
-        number = self._numbers(known.dictionary.to_pylist())[known.indices.to_numpy()]
-        size = self.starts[number + 1] - self.starts[number]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.starts[number] - upto[:-1], size) + np.arange(upto[-1])]
+        number = self._numbers(known.dictionary.to_pylist())
+        indices = known.indices.to_numpy()
+        self.used[number] += np.bincount(indices, minlength=len(number))
+        width = self.dtype.itemsize
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.used), [None, pa.py_buffer(self.starts * width), pa.py_buffer(self.flat)])
+        taken = table.take(pa.array(number).take(known.indices))
+        upto = np.frombuffer(taken.buffers()[1], np.int64)[: len(edges)] // width if len(edges) > 1 else np.zeros(1, np.int64)
+        ids = np.frombuffer(taken.buffers()[2] or b"", self.dtype)[: upto[-1]]
         ends = upto[np.searchsorted(edges, bounds)]
         if special:
             by_text = np.split(ids, ends[1:-1])
