@@ -253,8 +253,8 @@ def ingested(t: Tables) -> DataFrame:
     out = f"{scratch_dir(t.spark)}/ingest-{uuid4()}"
     ingest.ingest(t.nested, out, days_before_experiment(t))
     ingest.ingest(t.nested, out)
-    told = t.spark.read.json(f"{out}/manifest")
-    events, items = (count_by(t.spark.read.parquet(f"{out}/{name}"), "event_date") for name in ("events", "items"))
+    told = ingest.stored_manifest(t.spark, out)
+    events, items = (count_by(f(t.spark, out), "event_date") for f in (readers.read_events, readers.read_items))
     by_day = events.withColumnRenamed("rows", "events").join(items.withColumnRenamed("rows", "items"), "event_date", "left")
     total = F.struct("days", "event_rows", "item_rows")
     return by_day.select("*", told.select(total.alias("m")).scalar().alias("m")).select("event_date", "events", "items", "m.*")

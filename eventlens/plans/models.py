@@ -26,6 +26,11 @@ class Models:
     cfg: Config
     counted: DataFrame | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        """Raw rows, or the distinct ones with their copies where these are written."""
+        return self.events if self.counted is None else self.counted
+
     @cached_property
     def hits(self) -> DataFrame:
         return staging.placeable_hits(self.events) if self.counted is None else self.stg_events

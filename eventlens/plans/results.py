@@ -10,8 +10,13 @@ from eventlens.plans.models import Models
 from eventlens.sources import sinks
 
 
-def result_blocks(m: Models, items: DataFrame, source: str | None = None) -> dict[str, DataFrame]:
-    """Name to frame; each is small, and none is computed until it is written or shown."""
+def result_blocks(
+    m: Models, items: DataFrame, source: str | None = None, summary: DataFrame | None = None, report: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Name to frame; each is small, and none is computed until it is written or shown.
+
+    ``summary`` and ``report`` (audit) may be written already; else they are computed from the counted or raw rows.
+    """
     cfg, seg = m.cfg, m.funnel_segments
     ordered = analysis.funnel_rates(seg, cfg.steps)
     everyone = ordered.filter("segment_type = 'all'")
@@ -23,8 +28,8 @@ def result_blocks(m: Models, items: DataFrame, source: str | None = None) -> dic
     design = experiment.experiment_design(m.user_windows, target, cfg)
     return {
         "source": m.events.sparkSession.range(1).select(F.lit(source).cast("string").alias("source")),
-        "summary": audit.summary(m.events),
-        "audit": audit.audit(m.events, items, cfg),
+        "summary": audit.summary(m.rows) if summary is None else summary,
+        "audit": audit.audit(m.events, items, cfg, m.counted) if report is None else report,
         "headline": analysis.headline(seg),
         "leak": analysis.biggest_leak(everyone),
         "target": target,
@@ -49,11 +54,11 @@ def result_blocks(m: Models, items: DataFrame, source: str | None = None) -> dic
     }
 
 
-def export_frames(m: Models) -> dict[str, DataFrame]:
+def export_frames(m: Models, summary: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six flat tables a dashboard reads."""
     cfg, seg = m.cfg, m.funnel_segments
     return {
-        "headline": sinks.export_headline(audit.summary(m.events), analysis.headline(seg)),
+        "headline": sinks.export_headline(audit.summary(m.rows) if summary is None else summary, analysis.headline(seg)),
         "funnel_by_device": sinks.export_funnel_by_device(analysis.funnel_rates(seg, cfg.steps)),
         "store_sections": sinks.export_store_sections(analysis.area_opportunity(m.area_funnel, cfg)),
         "weekly_revenue": sinks.export_weekly_revenue(analysis.metric_tree(m.weekly_metrics, cfg.holiday_start)),

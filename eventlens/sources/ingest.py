@@ -1,15 +1,23 @@
-"""A resumable daily ingest with a gate in front and a manifest behind."""
+"""A resumable daily ingest, gated by what is observed while it writes, with a manifest of one row per day.
+
+Each batch of days is written to folders of its own (``events/run=<id>``, ``items/run=<id>``). While Spark writes, it counts:
+rows and NULLs of every gated column, by day. Only then are days named in ``ingested_days``, an append-only table of one row
+per day, which is mark and manifest at once; readers see the days that it names, in the run that it names. So
+the source is parsed once for each table, a run cut short or refused leaves nothing that a reader would see, and day n costs
+what day n holds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from eventlens.sources.nested import event_day, flatten_events, flatten_items
+from eventlens.sources import readers, sinks
+from eventlens.sources.nested import flatten_events, flatten_items
 
 # Largest tolerated share of NULLs per column.
 NULL_LIMITS = {
@@ -76,15 +84,10 @@ def absent_steps(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     return seen.select(F.explode(F.array_compact(rows)).alias("step"))
 
 
-def finished_days(spark: SparkSession, out: str, mark: str = "ingested_days") -> list[date]:
+def finished_days(spark: SparkSession, out: str) -> list[date]:
     """Days that are marked as ingested: a list as long as the calendar. Only a missing table means none."""
-    try:
-        table = spark.read.parquet(f"{out}/{mark}")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    return sorted(r["event_date"] for r in table.select("event_date").distinct().collect())
+    table = readers.day_table(spark, out)
+    return [] if table is None else sorted(r["event_date"] for r in table.select("event_date").distinct().collect())
 
 
 def pending_days(nested: DataFrame, done: Sequence[date], days: Sequence[date] | None = None) -> list[str]:
@@ -104,43 +107,85 @@ def rows_of_days(nested: DataFrame, keys: Sequence[str]) -> DataFrame:
     return nested.filter(F.col("event_date").isin(*[F.lit(k).cast(kind) for k in keys]))
 
 
+#: Days of a batch: what is observed while it is written grows with them, whatever the rows.
+DAYS_AT_ONCE = 31
+#: A gated column that is NULL on more than this share of one day's rows holds that day back.
+MOSTLY = 0.5
+
+
+def day_counts(flat: DataFrame, days: Sequence[date], columns: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """``flat``, and an observation that is filled while it is written: rows of each day, and NULLs of each column and day."""
+    seen = Observation()
+    on = [F.col("event_date") == F.lit(d) for d in days]
+    counts = [F.count_if(o).alias(f"rows_{k}") for k, o in enumerate(on)]
+    nulls = [F.count_if(o & F.col(c).isNull()).alias(f"null_{k}_{c}") for k, o in enumerate(on) for c in columns]
+    return flat.observe(seen, *counts, *nulls), seen
+
+
+def refused(counts: Mapping[str, int], n_days: int, limits: Mapping[str, float]) -> dict[int, list[str]]:
+    """Columns that hold back each day (by its place): over the limit in the whole batch, or mostly NULL on the day."""
+    rows = [counts[f"rows_{k}"] for k in range(n_days)]
+    out: dict[int, list[str]] = {}
+    for c, limit in limits.items():
+        null = [counts[f"null_{k}_{c}"] for k in range(n_days)]
+        everywhere = sum(null) > limit * sum(rows)
+        for k in range(n_days):
+            if everywhere or null[k] > max(limit, MOSTLY) * rows[k]:
+                out.setdefault(k, []).append(c)
+    return out
+
+
 def ingest(
     nested: DataFrame,
     out: str,
     days: Sequence[date] | None = None,
-    mark: str = "ingested_days",
     source: str = "export",
     limits: Mapping[str, float] = NULL_LIMITS,
+    at_once: int = DAYS_AT_ONCE,
 ) -> DataFrame:
-    """Flatten the days that are missing under ``out``, write them by day, and write the manifest. Returns these days.
+    """Flatten the days that are missing under ``out``, write them and mark them. Returns the days that are marked now.
 
-    The days are listed once, before anything is read, and gate, both writes and the mark are about exactly
-    these; rows that the source gains meanwhile for other days wait for the next run. Events must pass the null gate before
-    a row is written. A run cut short leaves its days unmarked, and the next run replaces just those (dynamic partition
-    overwrite). A day is finished only when both tables are written, also if it has no items.
+    The days are listed once, before anything is read, and writes, gate and marks are about exactly these; rows that the
+    source gains meanwhile for other days wait for the next run. Days go in batches of ``at_once``. If a column is over its
+    limit in a batch, none of its days is marked; if it is mostly NULL on some days, these are not. What was written of refused
+    days is in no reader's way; a batch without any good day is removed. The first batch with refused days is the last one, and
+    the error names them.
     """
     spark = nested.sparkSession
-    keys = pending_days(nested, finished_days(spark, out, mark), days)
-    listed = [date(int(k[:4]), int(k[4:6]), int(k[6:])) for k in keys]
-    new = spark.createDataFrame([(d,) for d in listed], "event_date date")
-    if not keys:
-        return new
-    todo = rows_of_days(nested, keys)
-    events, items = flatten_events(todo), flatten_items(todo)
-    require_populated(events, limits)
-    for name, flat in (("items", items), ("events", events)):
-        # Rebalancing needs no sample of the rows: it splits large days and joins small ones when sizes are known.
-        (
-            flat.hint("rebalance", "event_date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date")
-            .parquet(f"{out}/{name}")
-        )
-    new.coalesce(1).write.mode("append").parquet(f"{out}/{mark}")
-    stored = [spark.read.schema(flat.schema).parquet(f"{out}/{name}") for name, flat in (("events", events), ("items", items))]
-    write_manifest(*stored, source, f"{out}/manifest")
-    return new
+    keys = pending_days(nested, finished_days(spark, out), days)
+    marked: list[date] = []
+    for at in range(0, len(keys), at_once):
+        batch = keys[at : at + at_once]
+        listed = [date(int(k[:4]), int(k[4:6]), int(k[6:])) for k in batch]
+        run, todo, seen = uuid4().hex, rows_of_days(nested, batch), {}
+        for name, flat, columns in (("items", flatten_items(todo), ()), ("events", flatten_events(todo), tuple(limits))):
+            counted, seen[name] = day_counts(flat, listed, columns)
+            # Rebalancing needs no sample of the rows: it splits large days and joins small ones when sizes are known.
+            counted.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(f"{out}/{name}/run={run}")
+        counts, item_counts = seen["events"].get, seen["items"].get
+        bad = refused(counts, len(listed), limits)
+        good = [(d, run, source, counts[f"rows_{k}"], item_counts[f"rows_{k}"]) for k, d in enumerate(listed) if k not in bad]
+        if good:
+            rows = spark.createDataFrame(good, readers.DAY_TABLE).withColumn("ingested_at", F.current_timestamp())
+            rows.coalesce(1).write.mode("append").parquet(f"{out}/{readers.DAYS}")
+            marked += [g[0] for g in good]
+        else:
+            for name in ("events", "items"):
+                sinks.remove(spark, f"{out}/{name}/run={run}")
+        if bad:
+            named = sorted({c for columns in bad.values() for c in columns})
+            raise GateFailed(f"mostly NULL: {named} on {sorted(str(listed[k]) for k in bad)}")
+    return spark.createDataFrame([(d,) for d in marked], "event_date date")
+
+
+def stored_manifest(spark: SparkSession, out: str) -> DataFrame:
+    """One row by source: days with events, and rows of both tables, from the rows by day and nothing else."""
+    named = readers.day_table(spark, out)
+    if named is None:
+        return spark.createDataFrame([], "source string, days bigint, event_rows bigint, item_rows bigint")
+    return named.groupBy("source").agg(
+        F.count_if(F.col("event_rows") > 0).alias("days"), F.sum("event_rows").alias("event_rows"), F.sum("item_rows").alias("item_rows")
+    )
 
 
 def manifest(events: DataFrame, items: DataFrame, source: str) -> DataFrame:
@@ -166,8 +211,9 @@ class WrongSource(RuntimeError):
     """The manifest does not name the source the caller expects."""
 
 
-def require_source(spark: SparkSession, path: str, source: str) -> None:
-    """Refuse to build on a table whose manifest names another source."""
-    found = [r["source"] for r in spark.read.json(path).select("source").limit(2).collect()]
+def require_source(spark: SparkSession, root: str, source: str) -> None:
+    """Refuse to build on tables whose manifest, by day or of a whole table, names another source."""
+    told = stored_manifest(spark, root) if readers.day_table(spark, root) is not None else spark.read.json(f"{root}/manifest")
+    found = sorted(r["source"] for r in told.select("source").distinct().limit(2).collect())
     if found != [source]:
         raise WrongSource(f"expected source {source!r}, manifest says {found}")

@@ -8,8 +8,9 @@ from functools import partial
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from eventlens.functions.stats import double
 
@@ -34,6 +35,54 @@ def materialise(df: DataFrame, path: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_observed(df: DataFrame, path: str, violations: Mapping[str, Column], *by: str) -> tuple[DataFrame, dict[str, int]]:
+    """``materialise``, with the number of rows on which each of ``violations`` is true, counted while the rows are written."""
+    if not violations:
+        return materialise(df, path, *by), {}
+    seen = Observation()
+    counted = [F.count_if(F.coalesce(v, F.lit(False))).alias(name) for name, v in violations.items()]
+    written = materialise(df.observe(seen, *counted), path, *by)
+    # A write without any row may leave nothing to observe.
+    return written, {name: int(seen.get.get(name) or 0) for name in violations}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, through the file system that Spark uses for it. A missing one is no error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+RUNS, LOG = "runs", "published"
+
+
+def publish(spark: SparkSession, out: str, run: str) -> int:
+    """Append ``run`` to the log of published runs and return its number. Nothing is overwritten: a file of its own is
+    committed, and whoever reads meanwhile sees the log with it or without it."""
+    number = 1 + max((r["number"] for r in published_runs(spark, out)), default=0)
+    row = spark.createDataFrame([(number, run)], "number bigint, run string")
+    row.coalesce(1).write.mode("append").json(f"{out}/{LOG}")
+    return number
+
+
+def published_runs(spark: SparkSession, out: str) -> list[Row]:
+    """(number, run) of all published runs, the oldest first: one short row for each build."""
+    try:
+        log = spark.read.schema("number bigint, run string").json(f"{out}/{LOG}")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return log.filter("number IS NOT NULL").orderBy("number", "run").collect()
+
+
+def remove_old_runs(spark: SparkSession, out: str, keep: int) -> list[str]:
+    """Delete the files of published runs but the newest ``keep`` (at least one); their log entries stay. Returns what went."""
+    old = [r["run"] for r in published_runs(spark, out)][: -max(1, keep)]
+    for run in old:
+        remove(spark, run)
+    return old
+
+
 # The keys each model is read in.
 MODEL_ORDER = {
     "funnel_segments": ("segment_type", "segment"),

@@ -129,18 +129,78 @@ def test_ingest_resumes_where_it_stopped(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan, "only one directory is opened"
 
 
-def test_a_day_cut_short_is_replaced(spark, tmp_path):
+def test_a_run_cut_short_is_not_seen(spark, tmp_path):
     out = str(tmp_path / "raw")
     whole = adapter.nest(adapter.source(spark, SMALL))
     day = [date(2024, 1, 5)]
     # Events written, but the run ended before the day was marked as finished.
     half = nested.flatten_events(whole).filter(F.col("event_date") == F.lit(day[0])).limit(3)
-    half.write.partitionBy("event_date").parquet(f"{out}/events")
+    half.write.partitionBy("event_date").parquet(f"{out}/events/run=lost")
+    assert ingest.finished_days(spark, out) == []
     ingest.ingest(whole, out, day)
     want = nested.flatten_events(whole).filter(F.col("event_date") == F.lit(day[0])).count()
     assert readers.read_events(spark, out).count() == want
 
 
+def test_each_day_is_parsed_once_for_each_table(spark, tmp_path):
+    """Gate and counts come from the writes themselves: two jobs read the source, and its rows twice in all."""
+    out, src = str(tmp_path / "raw"), str(tmp_path / "nested")
+    adapter.nest(adapter.source(spark, SMALL)).write.partitionBy("event_date").parquet(src)
+    whole = spark.read.schema(adapter.nest(adapter.source(spark, SMALL)).schema).parquet(src)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(name):
+        read.add(1)
+        return True
+
+    rows = whole.filter("event_date in ('20240105', '20240106')").count()
+    watched = whole.filter(seen("event_name"))
+    with_names = ingest.ingest(watched, out, [date(2024, 1, 5), date(2024, 1, 6)])
+    # Listing the days asks for the filter of all rows; lines of orders are looked for in rows of commerce only.
+    beyond = whole.count()
+    assert with_names.count() == 2 and beyond + rows < read.value <= beyond + 2 * rows
+    stored = ingest.stored_manifest(spark, out).first()
+    assert stored["event_rows"] == readers.read_events(spark, out).count() and stored["item_rows"] == readers.read_items(spark, out).count()
+
+
+def test_a_mostly_null_day_is_held_back(spark, tmp_path):
+    out = str(tmp_path / "raw")
+    whole = adapter.nest(adapter.source(spark, SMALL))
+    bad = F.col("event_date").cast("string") == "20240107"
+    broken = whole.withColumn("user_pseudo_id", F.when(~bad, F.col("user_pseudo_id")))
+    loose = {**ingest.NULL_LIMITS, "user_pseudo_id": 0.2}
+    january = [date(2024, 1, d) for d in range(1, 32)]
+    with pytest.raises(ingest.GateFailed, match=r"user_pseudo_id.*2024-01-07"):
+        ingest.ingest(broken, out, january, limits=loose)
+    done = ingest.finished_days(spark, out)
+    assert date(2024, 1, 7) not in done and len(done) > 20
+    assert readers.read_events(spark, out).filter("user_pseudo_id is null").count() == whole.filter("user_pseudo_id is null").filter(~bad).count()
+    # The day comes again, whole.
+    assert [r["event_date"] for r in ingest.ingest(whole, out, january).collect()] == [date(2024, 1, 7)]
+    assert readers.read_events(spark, out).exceptAll(nested.flatten_events(whole)).count() == 0
+
+
+def test_manifest_of_a_day_is_one_row_of_that_run(spark, tmp_path):
+    out = str(tmp_path / "raw")
+    whole = adapter.nest(adapter.source(spark, SMALL))
+    days = [date(2024, 1, d) for d in (5, 6, 7, 8)]
+    ingest.ingest(whole, out, days[:1])
+    ingest.ingest(whole, out, days, at_once=2, source="other")
+    table = readers.day_table(spark, out)
+    counts = {r["event_date"]: r["n"] for r in nested.flatten_events(whole).groupBy("event_date").agg(F.count("*").alias("n")).collect()}
+    assert {r["event_date"]: r["event_rows"] for r in table.collect()} == {d: counts[d] for d in days}
+    assert table.select("run").distinct().count() == 3  # one day, then two batches (two days and one)
+    assert {r["source"]: r["days"] for r in ingest.stored_manifest(spark, out).collect()} == {"export": 1, "other": 3}
+    with pytest.raises(ingest.WrongSource):
+        ingest.require_source(spark, out, "export")
+    # A day that is taken again replaces its rows for readers.
+    again = whole.filter("event_date = '20240105'").limit(4).withColumn("event_date", F.lit("20240105"))
+    spark.createDataFrame([(days[0], "again", "export", 4, 0)], readers.DAY_TABLE).withColumn("ingested_at", F.current_timestamp()).write.mode("append").parquet(f"{out}/{readers.DAYS}")
+    nested.flatten_events(again).write.partitionBy("event_date").parquet(f"{out}/events/run=again")
+    assert readers.one_day(readers.read_events(spark, out), days[0]).count() == 4
+
+
 def test_ingest_reads_pending_days_only(spark, tmp_path):
     out, src = str(tmp_path / "raw"), str(tmp_path / "nested")
     adapter.nest(adapter.source(spark, SMALL)).write.partitionBy("event_date").parquet(src)
@@ -150,7 +210,7 @@ def test_ingest_reads_pending_days_only(spark, tmp_path):
     assert "20240105" not in keys and len(keys) > 10
     plan = ingest.rows_of_days(whole, keys[:2])._jdf.queryExecution().executedPlan().toString()
     assert re.search(rf"PartitionFilters: \[[^\]]*{keys[0]}", plan)
-    assert spark.read.json(f"{out}/manifest").first()["event_rows"] == readers.read_events(spark, out).count()
+    assert ingest.stored_manifest(spark, out).first()["event_rows"] == readers.read_events(spark, out).count()
 
 
 def test_a_broken_table_of_days_is_not_taken_for_none(spark, tmp_path):
@@ -164,7 +224,7 @@ def test_nothing_is_written_behind_a_failed_gate(spark, tmp_path):
     whole = adapter.nest(adapter.source(spark, SMALL)).withColumn("event_params", F.array().cast("array<struct<key:string,value:struct<string_value:string,int_value:bigint>>>"))
     with pytest.raises(ingest.GateFailed, match="ga_session_id"):
         ingest.ingest(whole, str(tmp_path / "raw"))
-    assert not (tmp_path / "raw").exists()
+    assert not (tmp_path / "raw" / readers.DAYS).exists() and not list((tmp_path / "raw").glob("*/run=*"))
 
 
 def test_manifest_and_source_gate(spark, tmp_path, adapted):
@@ -173,9 +233,9 @@ def test_manifest_and_source_gate(spark, tmp_path, adapted):
     got = spark.read.json(path).first()
     assert got["event_rows"] == adapted["events"].count() and got["item_rows"] == adapted["items"].count()
     assert got["days"] == adapted["events"].select("event_date").distinct().count()
-    ingest.require_source(spark, path, "export")
+    ingest.require_source(spark, str(tmp_path), "export")
     with pytest.raises(ingest.WrongSource):
-        ingest.require_source(spark, path, "other")
+        ingest.require_source(spark, str(tmp_path), "other")
 
 
 def test_materialise_returns_what_was_written(spark, tmp_path):
