@@ -251,8 +251,8 @@ def days_before_experiment(t: Tables) -> list[date]:
 def ingested(t: Tables) -> DataFrame:
     """Two runs of the ingest into the shared folder; what both wrote, and what the manifest says of it."""
     out = f"{scratch_dir(t.spark)}/ingest-{uuid4()}"
-    ingest.ingest(t.nested, out, days_before_experiment(t))
-    ingest.ingest(t.nested, out)
+    ingest.ingest(t.nested, out, days_before_experiment(t), at_once=31)
+    ingest.ingest(t.nested, out, at_once=31)
     told = ingest.stored_manifest(t.spark, out)
     events, items = (count_by(f(t.spark, out), "event_date") for f in (readers.read_events, readers.read_items))
     by_day = events.withColumnRenamed("rows", "events").join(items.withColumnRenamed("rows", "items"), "event_date", "left")

@@ -7,29 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.events import first_value, session_channel, week_start
+from eventlens.functions.events import session_channel, week_start
+from eventlens.operators.first_touch import first_touch
 from eventlens.operators.purchases import session_purchases
 from eventlens.schema import MONEY
 
 PAGE_VIEW = "page_view"
 
 
+FIRST_TOUCH = ("device_category", "country", "session_source", "session_medium", "ft_source", "ft_medium")
+#: The user's part of a session key: what stands before the last colon (a session id is a number).
+KEY_USER = "left(session_key, length(session_key) - length(substring_index(session_key, ':', -1)) - 1)"
+
+
 def session_attributes(hits: DataFrame) -> DataFrame:
-    """What the first hits say about each session. Copies of a row change nothing."""
-    at = F.col("event_ts")
-    return hits.groupBy("session_key").agg(
-        F.max("user_pseudo_id").alias("user_pseudo_id"),
-        F.min(at).alias("session_start_ts"),
-        F.max("ga_session_number").alias("session_number"),
-        first_value(F.col("device_category"), at).alias("device_category"),
-        first_value(F.col("country"), at).alias("country"),
-        # Source and medium each come from their own first hit that has one.
-        first_value(F.col("session_source"), at).alias("session_source"),
-        first_value(F.col("session_medium"), at).alias("session_medium"),
-        first_value(F.col("ft_source"), at).alias("ft_source"),
-        first_value(F.col("ft_medium"), at).alias("ft_medium"),
-        F.max(F.when(F.col("session_engaged") == "1", 1).otherwise(0)).alias("engaged"),
-    )
+    """What the first hits say about each session. Copies of a row change nothing.
+
+    Source and medium each come from their own first hit that has one. The user is read off the key, so that the
+    aggregate over all rows has numbers only in its buffer.
+    """
+    merged = {
+        "session_number": (F.max("ga_session_number"), F.max),
+        "engaged": (F.max(F.when(F.col("session_engaged") == "1", 1).otherwise(0)), F.max),
+    }
+    first = first_touch(hits, ["session_key"], FIRST_TOUCH, "event_ts", merged)
+    return first.withColumnRenamed("event_ts", "session_start_ts").withColumn("user_pseudo_id", F.expr(KEY_USER))
 
 
 def page_views(stg: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.events import count_if, first_value, sum_if
+from eventlens.functions.events import count_if, sum_if
+from eventlens.operators.first_touch import first_touch
 
 
 def user_windows(sessions: DataFrame, start: date, end: date) -> DataFrame:
@@ -15,18 +16,16 @@ def user_windows(sessions: DataFrame, start: date, end: date) -> DataFrame:
     day = F.col("session_date")
     before, inside = day < F.lit(start), day.between(F.lit(start), F.lit(end))
     bought = F.col("purchases") > 0
-    return (
-        sessions.groupBy("user_pseudo_id")
-        .agg(
-            first_value(F.col("device_category"), F.col("session_start_ts")).alias("device_category"),
-            count_if(before).alias("pre_sessions"),
-            sum_if(F.col("purchases"), before).alias("pre_purchases"),
-            sum_if(F.col("revenue_usd"), before).alias("pre_revenue_usd"),
-            count_if(inside).alias("exp_sessions"),
-            count_if(inside & bought).alias("exp_converting_sessions"),
-            sum_if(F.col("purchases"), inside).alias("exp_purchases"),
-            sum_if(F.col("revenue_usd"), inside).alias("exp_revenue_usd"),
-            F.min(F.when(inside, day)).alias("exp_first_date"),
-        )
-        .filter(F.col("exp_sessions") > 0)
-    )
+    # By user and device first, then by user: sums are partial sums of sums.
+    merged = {
+        "pre_sessions": (count_if(before), F.sum),
+        "pre_purchases": (sum_if(F.col("purchases"), before), F.sum),
+        "pre_revenue_usd": (sum_if(F.col("revenue_usd"), before), F.sum),
+        "exp_sessions": (count_if(inside), F.sum),
+        "exp_converting_sessions": (count_if(inside & bought), F.sum),
+        "exp_purchases": (sum_if(F.col("purchases"), inside), F.sum),
+        "exp_revenue_usd": (sum_if(F.col("revenue_usd"), inside), F.sum),
+        "exp_first_date": (F.min(F.when(inside, day)), F.min),
+    }
+    users = first_touch(sessions, ["user_pseudo_id"], ["device_category"], "session_start_ts", merged)
+    return users.drop("session_start_ts").filter(F.col("exp_sessions") > 0)

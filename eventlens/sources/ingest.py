@@ -108,7 +108,7 @@ def rows_of_days(nested: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 #: Days of a batch: what is observed while it is written grows with them, whatever the rows.
-DAYS_AT_ONCE = 31
+DAYS_AT_ONCE = 7
 #: A gated column that is NULL on more than this share of one day's rows holds that day back.
 MOSTLY = 0.5
 

@@ -318,3 +318,34 @@ def test_weekly_identity_holds(spark, adapted):
     for r in m.weekly_metrics.filter("transactions > 0").collect():
         product = r["users"] * r["sessions_per_user"] * r["conversion"] * r["aov"]
         assert product == pytest.approx(float(r["revenue_usd"]), rel=1e-9)
+
+
+def test_first_touch_reduces_rows_without_a_sort(spark, adapted):
+    """Raw rows meet hash aggregates only; what is sorted has been reduced and shuffled before."""
+    from eventlens.operators import sessions, staging
+
+    df = sessions.session_attributes(staging.placeable_hits(adapted["events"]))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    steps = [line.strip(" :+-*()0123456789").split("(")[0].split(" ")[0] for line in plan.splitlines() if line.strip()]
+    first, last = min(steps.index("HashAggregate"), len(steps)), max(k for k, s in enumerate(steps) if s == "HashAggregate")
+    assert steps.count("HashAggregate") == 2 and not any(s.startswith("Sort") for s in steps[first:]), steps
+    assert last > max(k for k, s in enumerate(steps) if s.startswith("SortAggregate"))
+
+
+def test_first_touch_against_a_walk_over_rows(spark):
+    """Ties, NULL times, NULL values, copies, and values that come and go."""
+    import random
+
+    from eventlens.operators.first_touch import first_touch
+
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.choice([None, 1, 1, 2, 3]), rng.choice([None, "x", "y", ""]), rng.choice([None, "p", "q"]), rng.randint(0, 9)) for _ in range(300)]
+    rows += rows[:40] + [("d", None, "x", "p", 1), ("e", 1, None, None, 2)]
+    df = spark.createDataFrame(rows, "k string, t int, v string, w string, n int").repartition(3)
+    got = {r.k: (r.t, r.v, r.w, r.most, r.all) for r in first_touch(df, ["k"], ["v", "w"], "t", {"most": (F.max("n"), F.max), "all": (F.sum("n"), F.sum)}).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        firsts = [min(((r[1], r[c]) for r in own if r[1] is not None and r[c] is not None), default=(None, None))[1] for c in (2, 3)]
+        want[k] = (min((r[1] for r in own if r[1] is not None), default=None), *firsts, max(r[4] for r in own), sum(r[4] for r in own))
+    assert got == want

@@ -119,7 +119,7 @@ def test_ingest_resumes_where_it_stopped(spark, tmp_path):
     some = [date(2024, 1, 5), date(2024, 1, 6)]
     first = ingest.ingest(whole, out, some)
     assert [r["event_date"] for r in first.orderBy("event_date").collect()] == some
-    second = ingest.ingest(whole, out)
+    second = ingest.ingest(whole, out, at_once=40)
     assert not set(some) & {r["event_date"] for r in second.collect()}
     assert ingest.ingest(whole, out).count() == 0
     stored, want = readers.read_events(spark, out), nested.flatten_events(whole)
@@ -172,7 +172,7 @@ def test_a_mostly_null_day_is_held_back(spark, tmp_path):
     loose = {**ingest.NULL_LIMITS, "user_pseudo_id": 0.2}
     january = [date(2024, 1, d) for d in range(1, 32)]
     with pytest.raises(ingest.GateFailed, match=r"user_pseudo_id.*2024-01-07"):
-        ingest.ingest(broken, out, january, limits=loose)
+        ingest.ingest(broken, out, january, limits=loose, at_once=31)
     done = ingest.finished_days(spark, out)
     assert date(2024, 1, 7) not in done and len(done) > 20
     assert readers.read_events(spark, out).filter("user_pseudo_id is null").count() == whole.filter("user_pseudo_id is null").filter(~bad).count()
@@ -223,7 +223,7 @@ def test_a_broken_table_of_days_is_not_taken_for_none(spark, tmp_path):
 def test_nothing_is_written_behind_a_failed_gate(spark, tmp_path):
     whole = adapter.nest(adapter.source(spark, SMALL)).withColumn("event_params", F.array().cast("array<struct<key:string,value:struct<string_value:string,int_value:bigint>>>"))
     with pytest.raises(ingest.GateFailed, match="ga_session_id"):
-        ingest.ingest(whole, str(tmp_path / "raw"))
+        ingest.ingest(whole, str(tmp_path / "raw"), at_once=100)
     assert not (tmp_path / "raw" / readers.DAYS).exists() and not list((tmp_path / "raw").glob("*/run=*"))
 
 
