@@ -84,9 +84,9 @@ def dictionary(words: DataFrame, conf: Variants = Variants()) -> tuple[dict[str,
     kept: dict[str, int] = {}
     level = None
     for q in range(conf.shortest, conf.longest + 1):
-        places = F.sequence(F.lit(1), F.length("_w") - q + 1)
         # Words shorter than the gram have no place for it.
-        grams = padded.filter(F.length("_w") >= q).select(F.explode(F.transform(places, lambda k, q=q: F.substring(F.col("_w"), k, F.lit(q)))).alias("gram"))
+        cut = F.expr(f"transform(sequence(1, length(_w) - {q - 1}), k -> substring(_w, k, {q}))")
+        grams = padded.filter(F.length("_w") >= q).select(F.explode(cut).alias("gram"))
         if level is not None:
             # At most ``kept`` rows: each stands for more than total / kept places.
             shorter = words.sparkSession.createDataFrame([(g,) for g in level], "_shorter string")

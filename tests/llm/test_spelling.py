@@ -106,6 +106,17 @@ def test_variants_against_all_pairs(spark, kept, block):
     assert got == wanted(rows, conf) and len(got) > 50 and any(v[2] for v in got.values())
 
 
+def test_dictionary_counts_places_of_grams(spark):
+    words = sorted({w for _, t in corpus(60) for w in re.findall("[a-zé]{7,}", t or "")})
+    conf = spelling.Variants(rare=3, longest=5)
+    kept, threshold = spelling.dictionary(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), conf)
+    want: dict[str, int] = {}
+    for q in range(2, 6):
+        count = Counter(f"^{w}$"[k : k + q] for w in words for k in range(len(w) + 3 - q))
+        want |= {g: n for g, n in count.items() if n > 3 and (q == 2 or g[:-1] in want)}
+    assert threshold == 3 and kept == want and {len(g) for g in kept} == {2, 3, 4, 5}
+
+
 def test_forms_are_followed_to_the_last(spark):
     text = " ".join(["abcdefgh"] * 1000 + ["abcdefgx"] * 100 + ["abcdefyx"] * 10 + ["zbcdefyx"])
     conf = spelling.Variants(spoil=0, min_count=1)
