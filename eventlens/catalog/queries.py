@@ -37,6 +37,7 @@ from eventlens.operators import (
     user_windows,
     weekly,
 )
+from eventlens.plans.incremental import Incremental
 from eventlens.plans.models import Models
 from eventlens.plans.results import export_frames, result_blocks
 from eventlens.session import scratch_dir
@@ -323,6 +324,24 @@ add(
     lambda t: sinks.materialise(t.m.sessions, f"{scratch_dir(t.spark)}/sessions-{uuid4()}"),
     sql(f"SELECT {SES_SQL} FROM ses", "ses"),
 )
+
+
+def grown(t: Tables) -> Incremental:
+    """The models of the table, grown in three steps: the last one says a day again that an earlier one has said."""
+    inc = Incremental(t.spark, f"{scratch_dir(t.spark)}/grown-{uuid4()}", CFG)
+    days = [CFG.window_start + timedelta(days=k) for k in range(CFG.expected_days)]
+    at = len(days_before_experiment(t))
+    for some in (days[:at], days[at:-3], days[-4:]):
+        inc.update(t.events, some)
+    return inc
+
+
+add(
+    "s10_grown_sessions",
+    lambda t: grown(t).models(t.events).sessions,
+    sql(f"SELECT {SES_SQL} FROM ses", "ses"),
+)
+
 add(
     "s15_ordered_model",
     lambda t: sinks.ordered(t.m.area_funnel, "area_funnel").select("entry_area", "sessions"),

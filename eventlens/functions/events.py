@@ -124,10 +124,15 @@ def first_value(value: Column, at: Column) -> Column:
 
 def first_row_value(value: Column, *order: Column) -> Column:
     """Aggregate: ``value`` of the first row by ``order``, NULL values kept, NULL keys last."""
+    return first_row_value_key(value, *order)["value"]
+
+
+def first_row_value_key(value: Column, *order: Column) -> Column:
+    """The same with the order it was found by, so that results of parts merge by ``min``; its ``value`` is what is asked for."""
     keys = []
     for i, key in enumerate(order):
         keys += [key.isNull().alias(f"n{i}"), key.alias(f"k{i}")]
-    return F.min(F.struct(*keys, value.alias("value")))["value"]
+    return F.min(F.struct(*keys, value.alias("value")))
 
 
 def count_if(condition: Column) -> Column:

@@ -19,10 +19,15 @@ def entry_areas(hits: DataFrame, view_step: str) -> DataFrame:
         hits.filter(F.col("event_name") == view_step)
         .groupBy("session_key")
         .agg(first_path.alias("path"))
-        .select("session_key", path_section(F.col("path")).alias("entry_area"))
+        .transform(sections)
     )
 
 
+def sections(entries: DataFrame) -> DataFrame:
+    """(session_key, entry_area) of (session_key, path)."""
+    return entries.select("session_key", path_section(F.col("path")).alias("entry_area"))
+
+
 def area_funnel(
     hits: DataFrame,
     sessions: DataFrame,
@@ -30,6 +35,13 @@ def area_funnel(
     view_step: str = "view_item",
     checkout_step: str = "begin_checkout",
     purchase_step: str = "purchase",
+) -> DataFrame:
+    """Per section of the entry page; see ``area_rates``."""
+    return area_rates(entry_areas(hits, view_step), sessions, revenue_reliable_through, view_step, checkout_step, purchase_step)
+
+
+def area_rates(
+    entries: DataFrame, sessions: DataFrame, revenue_reliable_through: date, view_step: str, checkout_step: str, purchase_step: str
 ) -> DataFrame:
     """Per section: visits, checkouts, ordered purchases, and money from reliable days.
 
@@ -39,8 +51,7 @@ def area_funnel(
     reliable = bought & (F.col("session_date") <= F.lit(revenue_reliable_through))
     zero = F.lit(0).cast(MONEY)
     return (
-        entry_areas(hits, view_step)
-        .join(sessions.filter(F.col(f"reached_{view_step}") == 1), "session_key")
+        entries.join(sessions.filter(F.col(f"reached_{view_step}") == 1), "session_key")
         .groupBy("entry_area")
         .agg(
             F.count(F.lit(1)).alias("sessions"),

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 SECOND = "unix_date(to_date(event_ts)) * 86400L + hour(event_ts) * 3600 + minute(event_ts) * 60 + int(second(event_ts))"
 
 
-def funnel_events(hits: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """Only the rows and columns a funnel needs: (session_key, step number, event_ts)."""
+def funnel_events(hits: DataFrame, steps: Sequence[str], keys: Sequence[str] = ("session_key",)) -> DataFrame:
+    """Only the rows and columns a funnel needs: (keys, step number, event_ts)."""
     names = ", ".join(f"'{s}'" for s in steps)
     return hits.filter(f"event_name IN ({names})").selectExpr(
-        "session_key", f"array_position(array({names}), event_name) - 1 AS step", "event_ts"
+        *keys, f"array_position(array({names}), event_name) - 1 AS step", "event_ts"
     )
 
 
@@ -36,6 +36,16 @@ def session_funnel(hits: DataFrame, steps: Sequence[str]) -> DataFrame:
 
     Copies of a row change nothing here, so ``placeable_hits`` is the input to use.
     """
+    return funnel_moves(hits, steps, ["session_key"]).selectExpr(
+        "session_key",
+        *[f"int(getbit(seen, {i})) AS any_{step}" for i, step in enumerate(steps)],
+        *[f"int(move[0] > {i}) AS reached_{step}" for i, step in enumerate(steps)],
+    )
+
+
+def funnel_moves(hits: DataFrame, steps: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """By ``keys``: ``move`` (entering at depth s you leave at depth ``move[s]``), ``seen`` (a bit for each step), and the
+    first and last second that a step was taken in (NULL without any time)."""
     k = len(steps)
 
     def move(walk) -> str:
@@ -48,25 +58,16 @@ def session_funnel(hits: DataFrame, steps: Sequence[str]) -> DataFrame:
         return f"aggregate(parts, {start}, (depth, p) -> IF(depth < {k}, p.move[depth], depth))"
 
     in_order = "array_sort(collect_list(struct(at, move))) AS parts"
-    seen = "bit_or(seen) AS seen"
+    merged = ("bit_or(seen) AS seen", "min(from_second) AS from_second", "max(to_second) AS to_second")
+    kept = ("seen", "from_second", "to_second")
     seconds = _grouped(
-        funnel_events(hits, steps).selectExpr("*", f"{SECOND} AS at"),
-        ["session_key", "at"],
+        funnel_events(hits, steps, keys).selectExpr("*", f"{SECOND} AS at"),
+        [*keys, "at"],
         "array_sort(collect_set(IF(event_ts IS NULL, NULL, struct(event_ts, step)))) AS hits",
         "bit_or(shiftleft(1, int(step))) AS seen",
-    ).selectExpr("session_key", "at div 3600 AS hour", "at", move(within_second), "seen")
-    hours = _grouped(seconds, ["session_key", "hour"], in_order, seen).selectExpr(
-        "session_key", "hour AS at", move(across), "seen"
-    )
-    return (
-        _grouped(hours, ["session_key"], in_order, seen)
-        .selectExpr("session_key", "seen", f"{across(0)} AS depth")
-        .selectExpr(
-            "session_key",
-            *[f"int(getbit(seen, {i})) AS any_{step}" for i, step in enumerate(steps)],
-            *[f"int(depth > {i}) AS reached_{step}" for i, step in enumerate(steps)],
-        )
-    )
+    ).selectExpr(*keys, "at div 3600 AS hour", "at", move(within_second), "seen", "at AS from_second", "at AS to_second")
+    hours = _grouped(seconds, [*keys, "hour"], in_order, *merged).selectExpr(*keys, "hour AS at", move(across), *kept)
+    return _grouped(hours, keys, in_order, *merged).selectExpr(*keys, move(across), *kept)
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:

@@ -34,11 +34,11 @@ def session_attributes(hits: DataFrame) -> DataFrame:
     return first.withColumnRenamed("event_ts", "session_start_ts").withColumn("user_pseudo_id", F.expr(KEY_USER))
 
 
-def page_views(stg: DataFrame) -> DataFrame:
-    """Page views per session: a count, so it needs the rows without copies."""
+def page_views(stg: DataFrame, keys: Sequence[str] = ("session_key",)) -> DataFrame:
+    """Page views per session (or other keys): a count, so it needs the rows without copies."""
     return (
         stg.filter(F.col("event_name") == PAGE_VIEW)
-        .groupBy("session_key")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("page_views"))
     )
 
@@ -57,14 +57,18 @@ def sessions(
     copies (``placeable_hits``): then only page views and purchases pay for
     de-duplication, not the whole table.
     """
-    base = session_attributes(stg if hits is None else hits)
+    return from_parts(session_attributes(stg if hits is None else hits), funnel, page_views(stg), orders, steps)
+
+
+def from_parts(base: DataFrame, funnel: DataFrame, views: DataFrame, orders: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """The session table from attributes, funnel, page views and purchases."""
     number = F.col("session_number")
     day = F.to_date("session_start_ts")
     flags = [f"{kind}_{step}" for step in steps for kind in ("reached", "any")]
     zero_money = F.lit(0).cast(MONEY)
     return (
         base.join(funnel, "session_key", "left")
-        .join(page_views(stg), "session_key", "left")
+        .join(views, "session_key", "left")
         .join(session_purchases(orders), "session_key", "left")
         .select(
             "session_key",
