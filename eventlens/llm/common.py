@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _own: list[str] = []
@@ -39,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, number: str = "node") -> DataFrame:
+    """``df`` written with a number of its own on each row. What is written stays; no two rows share a number."""
+    return written(df.withColumn(number, F.monotonically_increasing_id()), name)
+
+
 def fields(df: DataFrame) -> StructType:
     """A schema of one's own to add to: the one of a DataFrame is shared by all who ask for it."""
     return StructType(list(df.schema.fields))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm import candidates, exact
-from eventlens.llm.common import written
+from eventlens.llm.common import numbered, written
 from eventlens.llm.graph import components
 from eventlens.llm.textscan import mix
 
@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, conf: Near = Near()) -> DataFrame:
     usable = vectors.filter(ok).select("vec_id", F.col("label").cast("string").alias("_label"), F.col("embedding").cast("array<double>").alias("_vector"))
     rows = written(usable.mapInArrow(_numbered, f"vec_id {kind}, set_id binary, label string, unit binary"), "embed-rows")
     by = rows.groupBy("set_id").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"))
-    by = written(by.withColumn("node", F.conv(F.substring(F.hex("set_id"), 1, 15), 16, 10).cast("long")), "embed-classes")
+    by = numbered(by, "embed-classes")
     n = by.count()
     sample = [r[0] for r in by.select("unit").orderBy(F.xxhash64(F.lit(conf.seed), "set_id"), "set_id").limit(conf.sample).collect()]
     if n:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm import candidates, exact
-from eventlens.llm.common import fields, written
+from eventlens.llm.common import fields, numbered, written
 from eventlens.llm.graph import components
 from eventlens.llm.textscan import mix, scan
 
@@ -109,12 +109,12 @@ def sketched(docs: DataFrame, conf: Join) -> DataFrame:
                     sketch.append((mix(low) >> np.uint64(48)).astype("<u2").tobytes())
                     keys.append(mix(value[_chosen(value, conf)]).view(np.int64) if len(members) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "set_id", "n", "sketch", "keys"],
+                    [part.column("doc_id"), part.column("digest"), pa.array(ids, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "set_id", "n", "sketch", "keys"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, set_id binary, n int, sketch binary, keys array<long>")
+    return docs.select("doc_id", "text", _digest().alias("digest")).mapInArrow(work, f"doc_id {kind}, digest string, set_id binary, n int, sketch binary, keys array<long>")
 
 
 def _with_sets(docs: DataFrame, conf: Join) -> DataFrame:
@@ -130,6 +130,11 @@ def _with_sets(docs: DataFrame, conf: Join) -> DataFrame:
     return docs.mapInArrow(work, fields(docs).add("_set_id", "binary").add("_set", "binary"))
 
 
+def _digest(text: str = "text") -> F.Column:
+    """Tells texts of one id apart; a null text is none of the others."""
+    return F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))
+
+
 def _linked(threshold: float):
     def linked(group: pa.Table) -> np.ndarray:
         members = [np.frombuffer(b, np.uint64) for b in group.column("_set").to_pylist()]
@@ -155,12 +160,8 @@ def _linked(threshold: float):
     return linked
 
 
-def _node(set_id: str) -> F.Column:
-    return F.conv(F.substring(F.hex(set_id), 1, 15), 16, 10).cast("long")
-
-
 def classes(docs: DataFrame, conf: Join) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set_id) by row, and by class: set_id, node, first_id, copies, n, sketch, keys."""
+    """(doc_id, set_id, digest of the text) by row, and by class: set_id, node, first_id, copies, n, sketch, keys."""
     rows = written(sketched(docs, conf), "jaccard-rows")
     by = rows.groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"),
@@ -169,8 +170,8 @@ def classes(docs: DataFrame, conf: Join) -> tuple[DataFrame, DataFrame]:
         F.first("sketch").alias("sketch"),
         F.first("keys").alias("keys"),
     )
-    by = written(by.withColumn("node", _node("set_id")), "jaccard-classes")
-    return rows.select("doc_id", "set_id"), by
+    # Classes are numbered, not named by a part of their id: two of them must never be one node of the graph.
+    return rows.select("doc_id", "set_id", "digest"), numbered(by, "jaccard-classes")
 
 
 def join(docs: DataFrame, conf: Join = Join()) -> tuple[DataFrame, DataFrame]:
@@ -218,10 +219,17 @@ def deduplicated(docs: DataFrame, conf: Join = Join()) -> DataFrame:
     members, by = join(docs, conf)
     marked = members.join(by.select("set_id", "group_id", "group_set"), "set_id")
     same = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("set_id") == F.col("group_set"))
-    gone = written(marked.filter(~same).select(F.col("doc_id").alias("_gone_id"), F.col("set_id").alias("_gone_set")).distinct(), "jaccard-gone")
-    repeated = not marked.filter(same).groupBy("doc_id", "set_id").count().filter("count > 1").isEmpty()
-    held = _with_sets(docs, conf).drop("_set")
-    left = held.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_set_id") == F.col("_gone_set")), "left_anti")
-    if repeated:  # the kept document's row is there more than once
-        left = left.dropDuplicates(["doc_id", "_set_id"])
+    gone = marked.filter(~same).select("doc_id", "digest")
+    # Rarely the kept document's id has more rows of the same words: of different texts one stays, of equal rows one.
+    key = ["group_id", "group_set"]
+    more = written(marked.filter(same).groupBy(*key).agg(F.min("digest").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "jaccard-more")
+    repeated = not more.isEmpty()
+    if repeated:
+        first = more.select(F.col("group_id").alias("_id"), F.col("group_set").alias("_set"), "_first")
+        others = marked.filter(same).join(first, F.col("group_id").eqNullSafe(F.col("_id")) & (F.col("group_set") == F.col("_set")))
+        gone = gone.unionByName(others.filter(F.col("digest") != F.col("_first")).select("doc_id", "digest"))
+    gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone")).distinct(), "jaccard-gone")
+    left = docs.withColumn("_digest", _digest()).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_digest") == F.col("_gone")), "left_anti")
+    if repeated:
+        left = left.dropDuplicates(["doc_id", "_digest"])
     return left.select(docs.columns)

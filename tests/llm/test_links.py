@@ -203,3 +203,21 @@ def test_forest():
     for a, b in ((5, 3), (3, 1), (4, 2)):
         linked[a, b] = linked[b, a] = True
     assert candidates.forest(linked).tolist() == [0, 1, 2, 1, 2, 1]
+
+
+def test_classes_are_numbered_apart(spark):
+    """Nodes of the graph are numbers of classes, not parts of hashes: no two classes are ever one."""
+    docs = spark.createDataFrame([(k, f"text number {k} of many unlike others {k * 7}") for k in range(300)], "doc_id long, text string").repartition(5)
+    _, by = jaccard.classes(docs, jaccard.Join())
+    assert by.select("node").distinct().count() == by.count() == 300
+
+
+def test_kept_ids_with_several_rows(spark):
+    """One id with different texts: of the same words one row stays, of other words each; equal rows are one."""
+    words = "one two three four five six seven eight nine ten"
+    rows = [(1, words), (1, words), (1, words.replace(" ", "  ")), (1, "quite another text that is like nothing else here"), (2, words), (3, None), (3, None), (3, ""), (None, words)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string").repartition(3)
+    out = jaccard.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in out.collect()), key=str)
+    assert got == [(1, words), (1, "quite another text that is like nothing else here"), (3, "")]
