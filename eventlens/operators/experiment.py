@@ -7,10 +7,8 @@ of any size is combined in each task, and grouped by any segment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,19 +236,6 @@ def detectable(
 # ---- A/A replay ------------------------------------------------------------------
 
 
-def _arm_bits(key: str, n_sims: int, seed: int) -> Column:
-    """One bit per simulation: the digits of md5(user:block:seed), 128 simulations to a block.
-
-    An arm depends on the user, the simulation and the seed alone, never on the
-    order or the partition of rows.
-    """
-    blocks = F.sequence(F.lit(0), F.lit((n_sims - 1) // 128))
-    digest = F.transform(
-        blocks, lambda b: F.md5(F.concat_ws(":", F.col(key).cast("string"), b.cast("string"), F.lit(str(seed))))
-    )
-    return F.unhex(F.array_join(digest, ""))
-
-
 def _checked(value: Column, name: str) -> Column:
     """A NULL metric or key would turn every split into NULL or put all such users on one side."""
     return F.when(value.isNull(), F.raise_error(F.lit(f"A/A replay: {name} is NULL"))).otherwise(value)
@@ -258,55 +243,60 @@ def _checked(value: Column, name: str) -> Column:
 
 #: What a split is judged by: for each user, deviations from the means of all users and their products.
 CONTRASTS = ("users", "y", "n", "yy", "nn", "yn")
+#: Splits that a task draws together.
+TOGETHER = 32
+#: Users with equal answers whose arms are drawn one by one; of more, the number in arm B is drawn from its normal limit.
+ONE_BY_ONE = 1 << 20
 
 
-def deviations(users: DataFrame, y: str, n: str) -> DataFrame:
-    """``users`` with ``_parts``, the values of ``CONTRASTS``: centred, so that products keep their digits."""
-    top, bottom = _checked(double(y), y), _checked(double(n), n)
-    middle = users.agg(F.struct(F.avg(double(y)).alias("y"), F.avg(double(n)).alias("n"))).scalar()
-    centred = users.withColumn("_middle", middle)
-    dy, dn = top - F.col("_middle.y"), bottom - F.col("_middle.n")
-    return centred.withColumn("_parts", F.array(F.lit(1.0), dy, dn, dy * dy, dn * dn, dy * dn)).drop("_middle")
-
+def answer_counts(users: DataFrame, y: str, n: str, key: str) -> DataFrame:
+    """(_y, _n, _users): how many users gave each answer. A NULL in answer or key is an error."""
+    answers = [_checked(double(c), c).alias(name) for c, name in ((y, "_y"), (n, "_n"))]
+    return users.groupBy(*answers).agg(F.count(_checked(F.col(key), key)).alias("_users"))
 
-def _multiply_signs(n_sims: int):
-    """Per task: for every split, the sum of signs times parts. A sign is +1 in arm B and -1 in arm A."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_sims, len(CONTRASTS)))
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1_024):
-                chunk = batch.slice(start, 1_024)
-                parts = chunk.column("_parts").flatten().to_numpy().reshape(chunk.num_rows, -1)
-                bits = np.frombuffer(b"".join(chunk.column("_bits").to_pylist()), np.uint8).reshape(chunk.num_rows, -1)
-                signs = 2.0 * np.unpackbits(bits, axis=1, count=n_sims) - 1.0
-                total += signs.T @ parts
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_sims, dtype=np.int32)), *map(pa.array, total.T)], ["sim", *CONTRASTS])
+def in_arm_b(seed: int, one_by_one: int = ONE_BY_ONE) -> Column:
+    """How many of ``_users`` with the answer (_y, _n) are in arm B of split ``sim``: a binomial draw with even odds.
 
-    return work
-
-
-def aa_contrasts(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed: int) -> DataFrame:
+    User i of the answer is in arm B if bit i is set in md5(answer:split:block:seed), 128 bits to a block; so it does not depend
+    on the order or the partition of rows. Beyond ``one_by_one`` users, half of them plus a normal draw of their variance, rounded.
+    """
+    name = f"md5(concat_ws(':', _y, _n, sim, {{0}}, {seed}))"
+    whole = "aggregate(sequence(0, int(_users div 128)), 0L, (sum, b) -> sum + IF(b < _users div 128, bitmap_count(unhex({0})), 0L))".format(name.format("b"))
+    last, rest = name.format("_users div 128"), "int(_users % 128)"
+    digits = f"bitmap_count(unhex(rpad(left({last}, {rest} div 4), 32, '0')))"
+    bits = f"bit_count(shiftright(instr('0123456789abcdef', substr({last}, {rest} div 4 + 1, 1)) - 1, 4 - {rest} % 4))"
+    drawn = f"{whole} + {digits} + {bits}"
+    uniform = [f"(conv(substr({name.format(repr(k))}, 1, 13), 16, 10) + 0.5D) / {2**52}D" for k in ("u", "v")]
+    normal = f"sqrt(-2 * ln({uniform[0]})) * cos(2 * pi() * {uniform[1]})"
+    return F.expr(f"IF(_users <= {one_by_one}, {drawn}, greatest(0L, least(_users, bigint(round(_users / 2 + sqrt(_users) / 2 * {normal})))))")
+
+
+def aa_contrasts(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed: int, one_by_one: int = ONE_BY_ONE) -> DataFrame:
     """Per split: arm B minus arm A, for each of ``CONTRASTS``, beside their totals (``t_``) and the means of all users.
 
-    Users times simulations never become rows. A task multiplies a sign matrix with its users' parts and keeps
-    n_sims rows; only those are shuffled. Totals are one ordinary aggregate.
+    Users are first reduced to their distinct answers, of which a split only needs to know how many are in arm B: work
+    is answers times splits and a bit for each user and split, all of it in the JVM. Deviations are centred, so that products keep their digits.
     """
-    known = users.withColumn(key, _checked(F.col(key), key))
-    parts = deviations(known, y, n)
-    signed = parts.select("_parts", _arm_bits(key, n_sims, seed).alias("_bits")).mapInArrow(
-        _multiply_signs(n_sims), "sim int, " + ", ".join(f"{c} double" for c in CONTRASTS)
-    )
-    summed = signed.groupBy("sim").agg(*[F.sum(c).alias(c) for c in CONTRASTS])
-    whole = parts.agg(
-        F.struct(
-            *[F.sum(F.col("_parts")[k]).alias(f"t_{c}") for k, c in enumerate(CONTRASTS)],
-            F.avg(double(y)).alias("mean_y"),
-            F.avg(double(n)).alias("mean_n"),
-        )
+    answers = answer_counts(users, y, n, key)
+    weight = double("_users")
+    middle = answers.agg(
+        F.struct((F.sum(F.col("_y") * weight) / F.sum(weight)).alias("y"), (F.sum(F.col("_n") * weight) / F.sum(weight)).alias("n"))
     ).scalar()
-    told = summed.withColumn("_whole", whole).select("*", "_whole.*").drop("_whole")
-    return told.filter(F.col("t_users") > 0)
+    chunks = F.sequence(F.lit(0), F.lit((n_sims - 1) // TOGETHER))
+    # Answers are few, splits are many: they are what is dealt to tasks.
+    dealt = answers.select("*", F.explode(chunks).alias("_chunk")).repartition((n_sims - 1) // TOGETHER + 1, "_chunk")
+    sims = F.sequence(F.col("_chunk") * TOGETHER, F.least(F.col("_chunk") * TOGETHER + TOGETHER, F.lit(n_sims)) - 1)
+    split = dealt.select("_y", "_n", "_users", F.explode(sims).alias("sim")).withColumn("_middle", middle)
+    signed = split.withColumn("_signed", 2.0 * in_arm_b(seed, one_by_one) - weight)
+    dy, dn = F.col("_y") - F.col("_middle.y"), F.col("_n") - F.col("_middle.n")
+    parts = dict(zip(CONTRASTS, (F.lit(1.0), dy, dn, dy * dy, dn * dn, dy * dn), strict=True))
+    return signed.groupBy("sim").agg(
+        *[F.sum(F.col("_signed") * part).alias(c) for c, part in parts.items()],
+        *[F.sum(weight * part).alias(f"t_{c}") for c, part in parts.items()],
+        F.first("_middle.y").alias("mean_y"),
+        F.first("_middle.n").alias("mean_n"),
+    )
 
 
 def arm_summary(arm: str) -> dict[str, Column]:
