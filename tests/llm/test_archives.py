@@ -41,6 +41,29 @@ def test_archives_against_brute_force(spark, tmp_path, min_bytes):
     assert all(r.payload is None for r in got if r.record_type == "revisit")
 
 
+@pytest.mark.parametrize(("hot", "most_bits"), [(2, 1 << 20), (1 << 16, 64), (3, 1024)])
+def test_hot_digests_and_crowded_bitmaps(spark, tmp_path, hot, most_bits):
+    """Half of all pages under one digest, by the broadcast way and not; bitmaps so small that responses share the bits of revisits."""
+    rows = [(k, "the same page") for k in range(0, 600, 2)] + [(k, f"page {k % 250}") for k in range(1, 600, 2)] + [(None, "the same page"), (700, "y" * 200_000)]
+    df = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in rows], "page_id long, url string, html string").repartition(5)
+    got = stored(spark, df, str(tmp_path / "w"), hot=hot, most_bits=most_bits, file_bytes=50_000)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == wanted(rows)
+    assert (tmp_path / "w" / "rest").exists() == (most_bits <= 1024)
+    text = dict(rows)
+    assert all(bytes(r.payload).decode() == text[r.page_id] for r in got if r.record_type == "response")
+
+
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    """What goes through an exchange are headers; pages meet maps only."""
+    df = spark.createDataFrame([(k, "u", f"p{k % 3}") for k in range(30)], "page_id long, url string, html string")
+    headers = warc.with_headers(df).drop("_payload")
+    again = warc.revisits(headers)
+    told = spark.sparkContext.broadcast([warc.bitmap(again, 1, 1024)])
+    assert "_payload" not in again.columns and again.count() == 27
+    plan = warc.marked(warc.with_headers(df), told, (1,), False)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_repeated_rows_and_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "u", "same")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in stored(spark, df, str(tmp_path / "a"))) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
@@ -48,8 +71,10 @@ def test_repeated_rows_and_an_empty_table(spark, tmp_path):
 
 
 def test_files_hold_only_records_and_damage_is_found():
-    one = warc.record(3, "http://h", b"<p>\r\n\r\n</p>", False, None, "2000-01-01T00:00:00Z")
-    two = warc.record(4, None, b"<p>\r\n\r\n</p>", True, 3, "2000-01-01T00:00:00Z")
+    payload = b"<p>\r\n\r\n</p>"
+    sha1 = hashlib.sha1(payload).hexdigest()
+    one = warc.record(3, "http://h", sha1, len(payload), payload, None, "2000-01-01T00:00:00Z")
+    two = warc.record(4, None, sha1, len(payload), None, 3, "2000-01-01T00:00:00Z")
     found = list(warc.records(one + warc.END + two + warc.END))
     assert [f["WARC-Type"] for f, _ in found] == ["response", "revisit"] and found[0][1].endswith(b"\r\n\r\n<p>\r\n\r\n</p>")
     assert found[1][0]["WARC-Profile"] == warc.REVISIT_PROFILE and found[1][0]["WARC-Refers-To"] == "<urn:page:3>"
