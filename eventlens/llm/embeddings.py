@@ -4,12 +4,14 @@ Equal vectors of one label are a class. On a bounded sample of classes, principa
 learned, which alternates between the signs of the rotated vectors and the rotation that fits these signs best; signs
 are the code. Several such rotations, from different starts, make one long code. Each table is keyed by a substring
 of the code, as long as the logarithm of the number of classes asks, and there are as many tables as the wanted
-recall at the threshold needs. Rows that meet in a table and have near codes are connected
+recall at the threshold needs. Vectors that crowd around one direction agree in fewer bits at the threshold: where that would
+take more than ``most_tables``, substrings are shorter, and buckets larger, so that a vector has never more keys. Rows that meet in a table and have near codes are connected
 (``candidates``), and everything connected is ranked by the cosine of the original vectors, in double precision (``exact``).
 
 Only equal labels are compared. Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and rows of a null label, link with nothing and are components of their own; vectors of different lengths never link;
-rows that repeat are copies and link with each other; null ids come last in a component.
+rows that repeat are copies and link with each other; null ids come last in a component; an empty table stays empty; of further
+columns none is returned.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class Near:
     threshold: float = 0.93
     recall: float = 0.99
     bucket: int = 16
+    most_tables: int = 128
     sample: int = 8192
     rounds: int = 20
     limit: int = 4096
@@ -74,7 +77,13 @@ def quantiser(unit: np.ndarray, n: int, conf: Near) -> Codes:
     # Centring widens angles; at worst bits of linked vectors agree no more often than those of others.
     likeness = max(0.5, 1 - math.acos(max(-1.0, min(1.0, 1 - (1 - conf.threshold) / spread))) / math.pi)
     length = max(4, math.ceil(math.log2(max(n, 2) / conf.bucket)))
-    tables = max(4, math.ceil(math.log(1 - conf.recall) / math.log(1 - likeness**length)))
+
+    def asked(bits: int) -> int:
+        return max(4, math.ceil(math.log(1 - conf.recall) / math.log(1 - likeness**bits)))
+
+    while length > 1 and asked(length) > conf.most_tables:
+        length -= 1
+    tables = asked(length)
     _, axes = np.linalg.eigh(centred.T @ centred)
     bits = min(unit.shape[1], 64)
     main = axes[:, ::-1][:, :bits]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -221,3 +222,42 @@ def test_kept_ids_with_several_rows(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in out.collect()), key=str)
     assert got == [(1, words), (1, "quite another text that is like nothing else here"), (3, "")]
+
+
+def at_threshold(n: int, dims: int, crowd: float, seed: int, cosine: float = 0.9301) -> np.ndarray:
+    """Unit vectors in pairs at one cosine; ``crowd`` is about the mean cosine of any two of different pairs."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dims))
+    base *= math.sqrt(1 - crowd) / np.linalg.norm(base, axis=1, keepdims=True)
+    common = rng.standard_normal(dims)
+    base += math.sqrt(crowd) * common / np.linalg.norm(common)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((n, dims))
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return np.concatenate([base, cosine * base + math.sqrt(1 - cosine**2) * off])
+
+
+@pytest.mark.parametrize(("dims", "crowd"), [(32, 0.0), (256, 0.8), (768, 0.8)])
+def test_recall_at_the_threshold(spark, dims, crowd):
+    """Pairs just above it, of vectors that point anywhere and of vectors that crowd around one direction."""
+    n = 600
+    v = at_threshold(n, dims, crowd, dims)
+    rows = spark.createDataFrame([(k, "a", x.tolist()) for k, x in enumerate(v)], "vec_id long, label string, embedding array<double>").repartition(4)
+    links = {r.vec_id: r.n_links for r in embeddings.near_duplicates(rows).collect()}
+    met = v @ v.T >= 0.93
+    np.fill_diagonal(met, False)
+    want = met.sum(axis=1)
+    assert all(links[k] <= want[k] for k in range(2 * n))
+    assert sum(links.values()) >= 0.97 * want.sum()
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.3, 0.05])
+def test_a_vector_has_a_bounded_number_of_keys(spread):
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((500, 64)) * math.sqrt(spread / 64)
+    unit[:, 0] += math.sqrt(max(0.0, 1 - spread))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for size in (1_000, 10**7, 10**10):
+        codes = embeddings.quantiser(unit, size, embeddings.Near(rounds=2))
+        assert codes.tables <= 128 and codes.axes.shape[1] >= codes.tables * codes.length
