@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 from eventlens.llm.common import fields
 
 #: Chunks that a worker remembers; beyond, those go that are used least.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at once; a longer text is a portion of its own.
-PORTION = 4 << 20
+PORTION = 1 << 20
 #: The usual pattern of byte-level vocabularies, for tokenizer files, which name it only by kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside of printable Latin text and usual white space.
