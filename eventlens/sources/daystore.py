@@ -2,7 +2,7 @@
 
 Each write goes to folders of its own, ``<root>/<table>/run=<id>/day=<d>``. ``<root>/log`` is append-only: one commit, one file,
 names for every table and day that it changes the run that holds it from now on. Readers see the newest run of each day, so a
-commit of several tables is seen whole or not at all.
+commit of several tables is seen whole or not at all. One writer at a time; any number of readers.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 LOG = "table string, day date, run string, number bigint"
@@ -57,7 +57,7 @@ class DayStore:
         if not by_run:
             return empty
         paths = [f"{self.root}/{table}/run={run}" for run in sorted(by_run)]
-        stored = self.spark.read.schema(schema.add("run", "string") if "run" not in schema.names else schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
+        stored = self.spark.read.schema(StructType([*schema.fields, StructField("run", StringType())])).option("basePath", f"{self.root}/{table}").parquet(*paths)
         named: Column = F.lit(False)
         for run, own in sorted(by_run.items()):
             some = F.col("day").isin(*[d for d in own if d is not None])
