@@ -1,8 +1,8 @@
-"""A resumable daily ingest, gated by what is observed while it writes, with a manifest of one row per day.
+"""A resumable daily ingest, gated by what it has written, with a manifest of one row per day.
 
-Each batch of days is written to folders of its own (``events/run=<id>``, ``items/run=<id>``). While Spark writes, it counts:
-rows and NULLs of every gated column, by day. Only then are days named in ``ingested_days``, an append-only table of one row
-per day, which is mark and manifest at once; readers see the days that it names, in the run that it names. So
+Each batch of days is written to folders of its own (``events/run=<id>``, ``items/run=<id>``). What the files hold is counted
+from their gated columns alone: rows and NULLs, by day. Only then are days named in ``ingested_days``, an append-only table of
+one row per day, which is mark and manifest at once; readers see the days that it names, in the run that it names. So
 the source is parsed once for each table, a run cut short or refused leaves nothing that a reader would see, and day n costs
 what day n holds.
 """
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.sources import readers, sinks
@@ -107,19 +107,25 @@ def rows_of_days(nested: DataFrame, keys: Sequence[str]) -> DataFrame:
     return nested.filter(F.col("event_date").isin(*[F.lit(k).cast(kind) for k in keys]))
 
 
-#: Days of a batch: what is observed while it is written grows with them, whatever the rows.
+#: Days of a batch.
 DAYS_AT_ONCE = 7
 #: A gated column that is NULL on more than this share of one day's rows holds that day back.
 MOSTLY = 0.5
 
 
-def day_counts(flat: DataFrame, days: Sequence[date], columns: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
-    """``flat``, and an observation that is filled while it is written: rows of each day, and NULLs of each column and day."""
-    seen = Observation()
-    on = [F.col("event_date") == F.lit(d) for d in days]
-    counts = [F.count_if(o).alias(f"rows_{k}") for k, o in enumerate(on)]
-    nulls = [F.count_if(o & F.col(c).isNull()).alias(f"null_{k}_{c}") for k, o in enumerate(on) for c in columns]
-    return flat.observe(seen, *counts, *nulls), seen
+def day_counts(flat: DataFrame, days: Sequence[date], columns: Sequence[str] = ()) -> dict[str, int]:
+    """Rows of each day (by its place), and NULLs of each column and day: a row per day from the scan, whatever the rows.
+
+    An observation while ``flat`` is written would take a condition for each column and day, all of them on every row.
+    """
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
+    by_day = flat.filter(F.col("event_date").isin(*days)).groupBy("event_date").agg(F.count(F.lit(1)).alias("rows"), *nulls)
+    found = {r["event_date"]: r for r in by_day.collect()}
+    counts = {}
+    for k, d in enumerate(days):
+        counts[f"rows_{k}"] = found[d]["rows"] if d in found else 0
+        counts |= {f"null_{k}_{c}": found[d][f"null_{c}"] if d in found else 0 for c in columns}
+    return counts
 
 
 def refused(counts: Mapping[str, int], n_days: int, limits: Mapping[str, float]) -> dict[int, list[str]]:
@@ -159,10 +165,11 @@ def ingest(
         listed = [date(int(k[:4]), int(k[4:6]), int(k[6:])) for k in batch]
         run, todo, seen = uuid4().hex, rows_of_days(nested, batch), {}
         for name, flat, columns in (("items", flatten_items(todo), ()), ("events", flatten_events(todo), tuple(limits))):
-            counted, seen[name] = day_counts(flat, listed, columns)
             # Rebalancing needs no sample of the rows: it splits large days and joins small ones when sizes are known.
-            counted.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(f"{out}/{name}/run={run}")
-        counts, item_counts = seen["events"].get, seen["items"].get
+            flat.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(f"{out}/{name}/run={run}")
+            written = spark.read.schema(flat.schema).parquet(f"{out}/{name}/run={run}")
+            seen[name] = day_counts(written, listed, columns)
+        counts, item_counts = seen["events"], seen["items"]
         bad = refused(counts, len(listed), limits)
         good = [(d, run, source, counts[f"rows_{k}"], item_counts[f"rows_{k}"]) for k, d in enumerate(listed) if k not in bad]
         if good:

@@ -48,8 +48,8 @@ ITEM_EVENTS = ("view_item", "add_to_cart", "begin_checkout", "purchase")
 def param(key: str, slot: str, params: str = "event_params") -> Column:
     """Largest value of ``key`` in one typed slot; NULL if absent or in another slot.
 
-    A repeated key must not fail the row, hence the maximum. The array never leaves
-    its row, so there is no explode and no shuffle.
+    A repeated key must not fail the row, hence the maximum; only such rows look at every element by a lambda, which
+    Spark does not compile. The array never leaves its row, so there is no explode and no shuffle.
     """
     return param_by(key, lambda value: value[slot], params)
 
@@ -60,8 +60,12 @@ def param_any(key: str, params: str = "event_params") -> Column:
 
 
 def param_by(key: str, pick, params: str = "event_params") -> Column:
+    keys = F.col(params)["key"]
+    first, from_end = F.array_position(keys, key), F.array_position(F.reverse(keys), key)
+    only = pick(F.get(params, (first - 1).cast("int"))["value"])
     matching = F.filter(params, lambda p: p["key"] == key)
-    return F.array_max(F.transform(matching, lambda p: pick(p["value"])))
+    largest = F.array_max(F.transform(matching, lambda p: pick(p["value"])))
+    return F.when(first > 0, F.when(first + from_end > F.size(keys), only).otherwise(largest))
 
 
 def struct_columns() -> list[Column]:
@@ -103,14 +107,16 @@ def flatten_events(nested: DataFrame) -> DataFrame:
 def flatten_items(nested: DataFrame) -> DataFrame:
     """One row per item of a commerce event; an event without items gives none.
 
-    A table of its own: joined into events, each purchase would count once per line.
+    A table of its own: joined into events, each purchase would count once per line. The columns of the event are read
+    once, before its lines; ``coalesce`` keeps Spark from putting a copy of what makes up ``items`` into a filter.
     """
-    lines = nested.filter(F.col("event_name").isin(*ITEM_EVENTS)).select(
+    orders = nested.filter(F.col("event_name").isin(*ITEM_EVENTS)).select(
         *_placed(),
         param("ga_session_id", "int_value").alias("ga_session_id"),
         F.col("ecommerce.transaction_id").alias("transaction_id"),
-        F.explode("items").alias("item"),
+        "items",
     )
+    lines = orders.select("*", F.explode(F.coalesce("items", F.array())).alias("item"))
     return conform(
         lines.select("*", *[F.col(f"item.{path}").alias(name) for name, path in ITEM_PATHS.items()]), ITEMS
     )

@@ -69,6 +69,43 @@ def test_empty_and_missing_params(spark):
     assert flat.schema.names == EVENTS.names and flat.filter("ga_session_id IS NULL").count() == 2
 
 
+def test_a_repeated_key_among_nulls(spark):
+    params = [
+        *[("ga_session_id", None, i) for i in (4, None, 9)],
+        *[("source", t, None) for t in (None, None)],
+        ("medium", "first", None),
+        (None, "of no key", 1),
+        ("page_location", "b", None),
+        ("page_location", "a", None),
+    ]
+    row = list(record(params=params))
+    row[4] = [None, *row[4], None, ("campaign", None), ("ga_session_number", (None, 2))]
+    got = nested.flatten_events(spark.createDataFrame([tuple(row)], NESTED)).first()
+    assert (got["ga_session_id"], got["ga_session_number"], got["page_location"]) == (9, 2, "b")
+    assert (got["session_source"], got["session_medium"], got["session_campaign"]) == (None, "first", None)
+
+
+def test_flattening_runs_as_compiled_code(spark, capsys):
+    """The JVM interprets methods beyond 8,000 bytes; what makes up the items is not stated again in a filter."""
+    nest = adapter.nest(adapter.source(spark, SMALL))
+    todo = ingest.rows_of_days(nest, [f"202401{d:02d}" for d in range(1, 32)])
+    for flat in (nested.flatten_events(todo), nested.flatten_items(todo)):
+        assert not re.search(r"Filter .*size\(", flat._jdf.queryExecution().optimizedPlan().toString())
+        flat.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) <= 8000
+
+
+def test_counts_by_day_come_from_one_aggregate(spark):
+    days = [date(2024, 1, d) for d in (1, 2, 3)]
+    rows = events(spark, hit(user=None), hit(at=1), hit(at=90_000), hit(at=5 * 86_400)).unionByName(
+        events(spark, hit()).withColumn("event_date", F.lit(None).cast("date"))
+    )
+    want = {"rows_0": 2, "rows_1": 1, "rows_2": 0, "null_0_user_pseudo_id": 1, "null_1_user_pseudo_id": 0, "null_2_user_pseudo_id": 0}
+    assert ingest.day_counts(rows, days, ("user_pseudo_id",)) == want
+    assert ingest.day_counts(rows.limit(0), days[:1]) == {"rows_0": 0}
+
+
 def test_items_of_commerce_events_only(spark):
     one = ("I", "name", "cat", 2.0, 1, 2.0)
     frame = spark.createDataFrame(
