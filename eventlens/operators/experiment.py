@@ -245,8 +245,8 @@ def _checked(value: Column, name: str) -> Column:
 CONTRASTS = ("users", "y", "n", "yy", "nn", "yn")
 #: Splits that a task draws together.
 TOGETHER = 32
-#: Users with equal answers whose arms are drawn one by one; of more, the number in arm B is drawn from its normal limit.
-ONE_BY_ONE = 1 << 20
+#: Users with equal answers that one row stands for, in whole blocks of 128; no draw depends on it, it bounds a row's work.
+PORTION = 1 << 20
 
 
 def answer_counts(users: DataFrame, y: str, n: str, key: str) -> DataFrame:
@@ -255,24 +255,29 @@ def answer_counts(users: DataFrame, y: str, n: str, key: str) -> DataFrame:
     return users.groupBy(*answers).agg(F.count(_checked(F.col(key), key)).alias("_users"))
 
 
-def in_arm_b(seed: int, one_by_one: int = ONE_BY_ONE) -> Column:
-    """How many of ``_users`` with the answer (_y, _n) are in arm B of split ``sim``: a binomial draw with even odds.
+def in_portions(answers: DataFrame, portion: int = PORTION) -> DataFrame:
+    """Answers with ``_users`` cut into rows of at most ``portion`` users, each from the start of block ``_block`` on."""
+    blocks = -(-portion // 128)
+    cut = answers.select("*", F.explode(F.expr(f"sequence(0L, (_users - 1) div {128 * blocks})")).alias("_cut"))
+    first = F.col("_cut") * blocks
+    return cut.select("_y", "_n", F.least(F.col("_users") - first * 128, F.lit(128 * blocks)).alias("_users"), first.alias("_block"))
 
-    User i of the answer is in arm B if bit i is set in md5(answer:split:block:seed), 128 bits to a block; so it does not depend
-    on the order or the partition of rows. Beyond ``one_by_one`` users, half of them plus a normal draw of their variance, rounded.
+
+def in_arm_b(seed: int) -> Column:
+    """How many of a row's ``_users``, the ones from block ``_block`` of their answer on, are in arm B of the split named ``_name``.
+
+    User i of the answer is in arm B if bit i is set in md5(answer:split:block:seed), 128 bits to a block, however many users there
+    are: a binomial draw with even odds. So it does not depend on the order or the partition of rows.
     """
-    name = f"md5(concat_ws(':', _y, _n, sim, {{0}}, {seed}))"
+    name = f"md5(concat_ws(':', _name, _block + {{0}}, {seed}))"
     whole = "aggregate(sequence(0, int(_users div 128)), 0L, (sum, b) -> sum + IF(b < _users div 128, bitmap_count(unhex({0})), 0L))".format(name.format("b"))
     last, rest = name.format("_users div 128"), "int(_users % 128)"
     digits = f"bitmap_count(unhex(rpad(left({last}, {rest} div 4), 32, '0')))"
     bits = f"bit_count(shiftright(instr('0123456789abcdef', substr({last}, {rest} div 4 + 1, 1)) - 1, 4 - {rest} % 4))"
-    drawn = f"{whole} + {digits} + {bits}"
-    uniform = [f"(conv(substr({name.format(repr(k))}, 1, 13), 16, 10) + 0.5D) / {2**52}D" for k in ("u", "v")]
-    normal = f"sqrt(-2 * ln({uniform[0]})) * cos(2 * pi() * {uniform[1]})"
-    return F.expr(f"IF(_users <= {one_by_one}, {drawn}, greatest(0L, least(_users, bigint(round(_users / 2 + sqrt(_users) / 2 * {normal})))))")
+    return F.expr(f"{whole} + {digits} + {bits}")
 
 
-def aa_contrasts(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed: int, one_by_one: int = ONE_BY_ONE) -> DataFrame:
+def aa_contrasts(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed: int, portion: int = PORTION) -> DataFrame:
     """Per split: arm B minus arm A, for each of ``CONTRASTS``, beside their totals (``t_``) and the means of all users.
 
     Users are first reduced to their distinct answers, of which a split only needs to know how many are in arm B: work
@@ -284,11 +289,13 @@ def aa_contrasts(users: DataFrame, y: str, n: str, key: str, n_sims: int, seed:
         F.struct((F.sum(F.col("_y") * weight) / F.sum(weight)).alias("y"), (F.sum(F.col("_n") * weight) / F.sum(weight)).alias("n"))
     ).scalar()
     chunks = F.sequence(F.lit(0), F.lit((n_sims - 1) // TOGETHER))
-    # Answers are few, splits are many: they are what is dealt to tasks.
-    dealt = answers.select("*", F.explode(chunks).alias("_chunk")).repartition((n_sims - 1) // TOGETHER + 1, "_chunk")
+    # Answers are few, splits and users of one answer are many: splits and portions of users are what is dealt to tasks.
+    tasks = max((n_sims - 1) // TOGETHER + 1, int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = in_portions(answers, portion).select("*", F.explode(chunks).alias("_chunk")).repartition(tasks, "_chunk", "_block")
     sims = F.sequence(F.col("_chunk") * TOGETHER, F.least(F.col("_chunk") * TOGETHER + TOGETHER, F.lit(n_sims)) - 1)
-    split = dealt.select("_y", "_n", "_users", F.explode(sims).alias("sim")).withColumn("_middle", middle)
-    signed = split.withColumn("_signed", 2.0 * in_arm_b(seed, one_by_one) - weight)
+    split = dealt.select("_y", "_n", "_users", "_block", F.explode(sims).alias("sim")).withColumn("_middle", middle)
+    named = split.withColumn("_name", F.concat_ws(":", "_y", "_n", "sim"))
+    signed = named.withColumn("_signed", 2.0 * in_arm_b(seed) - weight)
     dy, dn = F.col("_y") - F.col("_middle.y"), F.col("_n") - F.col("_middle.n")
     parts = dict(zip(CONTRASTS, (F.lit(1.0), dy, dn, dy * dy, dn * dn, dy * dn), strict=True))
     return signed.groupBy("sim").agg(
